@@ -88,3 +88,25 @@ def shingles(hashes: np.ndarray, n: int) -> np.ndarray:
         for k in range(n):
             out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + hashes[k : size - n + 1 + k])
     return out
+
+
+PIECE = 1 << 20
+
+
+def pieces(data: bytes) -> list[bytes]:
+    """The text's word bytes in runs of about a megabyte that end between words, so that very long texts need little memory."""
+    clean = data.translate(WORD_BYTES)
+    out, at = [], 0
+    while len(clean) - at > PIECE:
+        end = clean.find(b" ", at + PIECE)
+        if end < 0:
+            break
+        out.append(clean[at:end])
+        at = end
+    return [*out, clean[at:]] if at else [clean]
+
+
+def word_hashes(data: bytes, cache: Hashes) -> np.ndarray:
+    """The hash of each word, in text order."""
+    found = [cache.of(p.split()) for p in pieces(data)]
+    return found[0] if len(found) == 1 else np.concatenate(found)

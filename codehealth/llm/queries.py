@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codehealth.llm import exact_dedup, token_counts
+from codehealth.llm import exact_dedup, mixing, token_counts
 from codehealth.llm.common import table
 
 
@@ -19,11 +19,15 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {"op2_exact_dedup": op2_exact_dedup, "op7_token_counts": op7_token_counts}
+QUERIES = {"op2_exact_dedup": op2_exact_dedup, "op5_mixing": op5_mixing, "op7_token_counts": op7_token_counts}
 ORACLE_SQL = {"op2_exact_dedup": OP2_SQL}
