@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codehealth.llm import exact_dedup, mixing, token_counts
+from codehealth.llm import decontamination, exact_dedup, mixing, token_counts
 from codehealth.llm.common import table
 
 
@@ -29,5 +29,24 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {"op2_exact_dedup": op2_exact_dedup, "op5_mixing": op5_mixing, "op7_token_counts": op7_token_counts}
-ORACLE_SQL = {"op2_exact_dedup": OP2_SQL}
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: Words as the package takes them: A-Z lowered, runs of ASCII letters, digits and non-ASCII characters.
+SQL_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+')"
+OP9_SQL = f"""
+WITH i AS (SELECT row_number() OVER () AS i, item_id, {SQL_WORDS} AS w FROM benchmark),
+     runs AS (SELECT DISTINCT i, item_id, least(5, len(w)) AS n, list_aggregate(w[k:k + least(5, len(w)) - 1], 'string_agg', ' ') AS s
+              FROM (SELECT i, item_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS k FROM i WHERE len(w) > 0)),
+     d AS (SELECT row_number() OVER () AS r, doc_id, {SQL_WORDS} AS w FROM documents),
+     lengths AS (SELECT DISTINCT n FROM runs),
+     have AS (SELECT DISTINCT r, doc_id, n, list_aggregate(w[k:k + n - 1], 'string_agg', ' ') AS s
+              FROM (SELECT r, doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, lengths WHERE len(w) >= n)),
+     sizes AS (SELECT i, count(*) AS n_item FROM runs GROUP BY i)
+SELECT doc_id, item_id, any_value(n_item) AS n_item, count(*) AS n_shared, count(*) / any_value(n_item) AS containment
+FROM runs JOIN have USING (n, s) JOIN sizes USING (i) GROUP BY r, i, doc_id, item_id HAVING count(*) >= 0.8 * any_value(n_item)
+"""
+
+QUERIES = {"op2_exact_dedup": op2_exact_dedup, "op5_mixing": op5_mixing, "op7_token_counts": op7_token_counts, "op9_decontamination": op9_decontamination}
+ORACLE_SQL = {"op2_exact_dedup": OP2_SQL, "op9_decontamination": OP9_SQL}
