@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codehealth.llm import decontamination, exact_dedup, mixing, token_counts
+from codehealth.llm import decontamination, exact_dedup, license_scan, mixing, token_counts
 from codehealth.llm.common import table
 
 
@@ -19,6 +19,10 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(table(spark, sf_dir, "documents")).drop("runs")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -48,5 +52,11 @@ SELECT doc_id, item_id, any_value(n_item) AS n_item, count(*) AS n_shared, count
 FROM runs JOIN have USING (n, s) JOIN sizes USING (i) GROUP BY r, i, doc_id, item_id HAVING count(*) >= 0.8 * any_value(n_item)
 """
 
-QUERIES = {"op2_exact_dedup": op2_exact_dedup, "op5_mixing": op5_mixing, "op7_token_counts": op7_token_counts, "op9_decontamination": op9_decontamination}
+QUERIES = {
+    "op2_exact_dedup": op2_exact_dedup,
+    "op3_license_scan": op3_license_scan,
+    "op5_mixing": op5_mixing,
+    "op7_token_counts": op7_token_counts,
+    "op9_decontamination": op9_decontamination,
+}
 ORACLE_SQL = {"op2_exact_dedup": OP2_SQL, "op9_decontamination": OP9_SQL}
