@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codehealth.llm import decontamination, exact_dedup, license_scan, mixing, token_counts
+from codehealth.llm import decontamination, exact_dedup, language_id, license_scan, mixing, token_counts
 from codehealth.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(table(spark, sf_dir, "documents")).drop("runs")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ FROM runs JOIN have USING (n, s) JOIN sizes USING (i) GROUP BY r, i, doc_id, ite
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_license_scan": op3_license_scan,
+    "op4_language_id": op4_language_id,
     "op5_mixing": op5_mixing,
     "op7_token_counts": op7_token_counts,
     "op9_decontamination": op9_decontamination,
