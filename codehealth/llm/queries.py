@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codehealth.llm import decontamination, exact_dedup, language_id, license_scan, mixing, token_counts
+from codehealth.llm import decontamination, exact_dedup, language_id, license_scan, mixing, quality, token_counts
 from codehealth.llm.common import table
 
 
@@ -31,6 +31,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -61,6 +65,7 @@ QUERIES = {
     "op3_license_scan": op3_license_scan,
     "op4_language_id": op4_language_id,
     "op5_mixing": op5_mixing,
+    "op6_quality": op6_quality,
     "op7_token_counts": op7_token_counts,
     "op9_decontamination": op9_decontamination,
 }
