@@ -5,8 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codehealth.llm import decontamination, exact_dedup, language_id, license_scan, mixing, quality, token_counts
-from codehealth.llm.common import table
+from codehealth.llm import decontamination, exact_dedup, language_id, license_scan, mixing, quality, token_counts, warc
+from codehealth.llm.common import new_dir, table
+
+
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the archives, reads them back and assembles the captures without moving payloads again."""
+    path = new_dir(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), path)
+    captures = warc.transactions(warc.records(spark, path, payloads=False))
+    return captures.select(
+        F.element_at(F.get("metadata", F.lit(0))["fields"], "captureId").try_cast("long").alias("page_id"),
+        F.col("response.payload_bytes").alias("payload_bytes"),
+        F.col("response.payload_digest").alias("payload_digest"),
+        F.col("response.record_type").alias("record_type"),
+        F.regexp_extract("response.refers_to", r"^<urn:x-capture:(-?\d+)>$", 1).try_cast("long").alias("refers_to"),
+    )
+
+
+OP1_SQL = """
+SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest,
+       CASE WHEN strlen(coalesce(html, '')) >= 1000 AND page_id < max(page_id) OVER w THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN strlen(coalesce(html, '')) >= 1000 AND page_id < max(page_id) OVER w THEN max(page_id) OVER w END AS refers_to
+FROM pages WINDOW w AS (PARTITION BY coalesce(html, ''))
+"""
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +83,7 @@ FROM runs JOIN have USING (n, s) JOIN sizes USING (i) GROUP BY r, i, doc_id, ite
 """
 
 QUERIES = {
+    "op1_warc": op1_warc,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_license_scan": op3_license_scan,
     "op4_language_id": op4_language_id,
@@ -69,4 +92,4 @@ QUERIES = {
     "op7_token_counts": op7_token_counts,
     "op9_decontamination": op9_decontamination,
 }
-ORACLE_SQL = {"op2_exact_dedup": OP2_SQL, "op9_decontamination": OP9_SQL}
+ORACLE_SQL = {"op1_warc": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op9_decontamination": OP9_SQL}
