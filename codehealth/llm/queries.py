@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codehealth.llm import decontamination, exact_dedup, language_id, license_scan, mixing, quality, token_counts, warc
+from codehealth.llm import decontamination, exact_dedup, language_id, license_scan, mixing, near_dedup, quality, token_counts, warc
 from codehealth.llm.common import new_dir, table
 
 
@@ -63,6 +63,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_classes(table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -90,6 +94,7 @@ QUERIES = {
     "op5_mixing": op5_mixing,
     "op6_quality": op6_quality,
     "op7_token_counts": op7_token_counts,
+    "op8_near_dedup": op8_near_dedup,
     "op9_decontamination": op9_decontamination,
 }
 ORACLE_SQL = {"op1_warc": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op9_decontamination": OP9_SQL}
