@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codehealth.llm import decontamination, exact_dedup, language_id, license_scan, mixing, near_dedup, quality, token_counts, warc
+from codehealth.llm import decontamination, exact_dedup, language_id, license_scan, mixing, near_dedup, quality, suffix_dedup, token_counts, warc
 from codehealth.llm.common import new_dir, table
 
 
@@ -71,6 +71,17 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.without_repeats(table(spark, sf_dir, "documents"), keep_first=False)
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 #: Words as the package takes them: A-Z lowered, runs of ASCII letters, digits and non-ASCII characters.
 SQL_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+')"
 OP9_SQL = f"""
@@ -96,5 +107,6 @@ QUERIES = {
     "op7_token_counts": op7_token_counts,
     "op8_near_dedup": op8_near_dedup,
     "op9_decontamination": op9_decontamination,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 ORACLE_SQL = {"op1_warc": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op9_decontamination": OP9_SQL}
