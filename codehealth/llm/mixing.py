@@ -178,3 +178,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return copies(joined, ["source", "chain"], cap).select(
         F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "rate"
     )
+
+
+def mixed_docs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """``docs`` that the mix takes at least once, with ``mix_copies`` and ``mix_taken``; other columns stay as they are.
+
+    Rows are matched by id, source and size, so ids should not repeat; rows that do are
+    all taken as often as the most taken of them.
+    """
+    size = F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long")
+    plan = mix(docs, id_col, text_col, source_col, **options)
+    plan = plan.groupBy(F.col(id_col).alias("__id"), F.col("size").alias("__size")).agg(F.max("copies").alias("mix_copies"), F.max("taken").alias("mix_taken"))
+    same = docs[id_col].eqNullSafe(plan["__id"]) & (size == plan["__size"])
+    return docs.join(plan.where("mix_copies > 0"), same).drop("__id", "__size")
