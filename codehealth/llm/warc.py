@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codehealth.llm.common import cut
+
 CRLF = "\r\n"
 #: Payloads of fewer bytes are stored again, whatever their copies.
 REVISIT_BYTES = 1000
@@ -193,7 +195,8 @@ def transactions(found: DataFrame) -> DataFrame:
     make a capture of their own with a null response. Records without an id are left out,
     since nothing can name them; concurrent_to ids that no record has are ignored.
     """
-    rows = found.where("record_id IS NOT NULL")
+    # Records are needed several times; the archives are parsed once.
+    rows = cut(found.where("record_id IS NOT NULL"))
     is_response = F.col("record_type").isin("response", "revisit")
     named = rows.select("record_id", is_response.alias("is_response"), F.explode("concurrent_to").alias("other"))
     responses = rows.where(is_response).select(F.col("record_id").alias("capture_id"))
