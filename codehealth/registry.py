@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codehealth.plans import table_queries
+from codehealth.plans import source_queries, table_queries
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,8 +15,8 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(table_queries.QUERIES)
+    return table_queries.QUERIES | source_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(table_queries.SQL)
+    return table_queries.SQL | source_queries.SQL
