@@ -173,7 +173,7 @@ def signed(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
 
 def verified(members: DataFrame, docs: DataFrame, words: int, similar: float, size: int) -> DataFrame:
     """Links (u, v) that the blocks of ``members`` (cluster, block, id, known, visits) verify."""
-    rows = members.join(docs, "id").select("cluster", "block", "id", "known", "visits", "data")
+    rows = members.hint("merge").join(docs, "id").select("cluster", "block", "id", "known", "visits", "data")
     dealt = rows.repartition("cluster", "block").sortWithinPartitions("cluster", "block", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,10 +226,12 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     totals = sized.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
     totals = totals.select("cluster", "n", F.greatest(F.ceil(F.col("n") / block_docs), F.ceil(F.col("bytes") / block_bytes)).cast("int").alias("blocks"))
     homes = cut(sized.join(totals, "cluster").withColumn("home", F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int")).drop("size"))
+    # The join is the same at every size, and the candidates' texts are moved once for both passes.
+    texts = cut(keyed.join(homes.select("id").hint("merge"), "id"))
     everywhere = F.sequence(F.lit(0), F.col("blocks") - 1)
     anchor = (F.col("blocks") > 1) & (share("id", 1) < F.lit(float(anchors)) / F.col("n"))
     members = homes.select("cluster", "id", F.col("id").alias("known"), F.lit(False).alias("visits"), F.explode(F.when(anchor, everywhere).otherwise(F.array("home"))).alias("block"))
-    links = cut(verified(members, keyed, words, similar, bands * rows))
+    links = cut(verified(members, texts, words, similar, bands * rows))
 
     wide = cut(homes.where("blocks > 1"))
     if not wide.isEmpty():
@@ -241,7 +243,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         residents = open_.select("cluster", "id", "known", F.lit(False).alias("visits"), F.col("home").alias("block"))
         visitors = open_.where("known <> main").select("cluster", "id", "known", "home", F.explode(everywhere).alias("block")).where("block <> home")
         visitors = visitors.select("cluster", "id", "known", F.lit(True).alias("visits"), "block")
-        links = links.unionAll(cut(verified(residents.unionByName(visitors), keyed, words, similar, bands * rows)))
+        links = links.unionAll(cut(verified(residents.unionByName(visitors), texts, words, similar, bands * rows)))
 
     roots = connected(links)
     label = copy_of.join(roots, F.col("rep") == F.col("vertex"), "left").select("id", F.coalesce("root", "rep").alias("root"))
