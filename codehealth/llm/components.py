@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from codehealth.llm.common import cut
 
 ROUNDS = 60
+#: Edges of one partition, about: rounds on few edges take few tasks and files.
+PART_EDGES = 100_000
 
 
-def star(edges: DataFrame, small: bool) -> DataFrame:
+def star(edges: DataFrame, small: bool, parts: int) -> DataFrame:
     """Hang each vertex's larger (or, if ``small``, smaller) neighbours and, if ``small``, itself on its least neighbour.
 
     Neither step needs a vertex's neighbours together: the least one is a partial
@@ -26,7 +28,7 @@ def star(edges: DataFrame, small: bool) -> DataFrame:
         out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
     else:
         out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return out.where("u <> v").distinct()
+    return out.where("u <> v").coalesce(parts).distinct().coalesce(parts)
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -36,9 +38,10 @@ def connected(edges: DataFrame) -> DataFrame:
     plan stays short and a lost executor loses no round.
     """
     now = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    state = None
+    parts = 1 + now.count() // PART_EDGES
+    now, state = now.coalesce(parts), None
     for _ in range(ROUNDS):
-        now = cut(star(star(now, False), True))
+        now = cut(star(star(now, False, parts), True, parts))
         after = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if after == state:
             break
