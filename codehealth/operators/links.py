@@ -81,3 +81,14 @@ def enclosing(points: DataFrame, intervals: DataFrame, keys: list[str], smallest
     rank = F.struct(F.col("high") - F.col("low"), "place") if smallest else F.struct("place")
     best = numbered.join(intervals, keys).where(hit).groupBy("__row").agg(F.min_by("place", rank).alias("inside"))
     return numbered.join(best, "__row", "left").drop("__row")
+
+
+def overlapping(intervals: DataFrame, keys: list[str]) -> DataFrame:
+    """``intervals`` (keys, place, low, high) with ``overlaps``: whether another one of the same keys shares a point with it.
+
+    In order of their lower ends an interval meets an earlier one that reaches it, or the next one.
+    """
+    order = Window.partitionBy(*keys).orderBy("low", "place")
+    reach = F.max("high").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.lead("low").over(order)
+    return intervals.withColumn("overlaps", F.coalesce(reach >= F.col("low"), F.lit(False)) | F.coalesce(after <= F.col("high"), F.lit(False)))
