@@ -42,6 +42,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def unused(columns: list[str], name: str) -> str:
+    """``name``, with underscores before it as long as it is among ``columns``."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def utf8(text: str = "text"):
     """The column's UTF-8 bytes; null counts as empty."""
     return F.coalesce(F.col(text), F.lit("")).cast("binary")
@@ -90,6 +98,36 @@ def shingles(hashes: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def saved(df: DataFrame, what: str) -> DataFrame:
+    """``df`` written to the shared folder as compressed columns, and read again."""
+    spark = df.sparkSession
+    path = new_dir(spark, what)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+#: Words of 64 bits of a filter: what is broadcast is at most so many rows, whatever the number of keys.
+FILTER_WORDS = 1 << 20
+
+
+def maybe_in(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """``rows`` with ``__maybe``: false only if ``key`` is surely not among ``keys`` (one column), by a bitmap of fixed size."""
+    place = F.pmod(F.xxhash64(key), F.lit(FILTER_WORDS * 64))
+    (name,) = keys.columns
+    own = F.pmod(F.xxhash64(name), F.lit(FILTER_WORDS * 64))
+    words = keys.select((own / 64).cast("long").alias("__word"), F.expr("shiftleft(1L, CAST(pmod(xxhash64({0}), 64) AS INT))".format(f"`{name}`")).alias("__one"))
+    words = words.groupBy("__word").agg(F.bit_or("__one").alias("__bits"))
+    marked = rows.withColumn("__at", (place / 64).cast("long")).withColumn("__bit", F.pmod(F.xxhash64(key), F.lit(64)).cast("int"))
+    found = marked.join(F.broadcast(words), F.col("__at") == F.col("__word"), "left")
+    hit = F.coalesce(F.getbit("__bits", F.col("__bit")) == 1, F.lit(False))
+    return found.withColumn("__maybe", hit).drop("__at", "__bit", "__word", "__bits")
+
+
+def likely_in(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose ``key`` isn't among ``keys``: what is left to an exact join."""
+    return maybe_in(rows, key, keys).where("__maybe").drop("__maybe")
+
+
 PIECE = 1 << 20
 
 

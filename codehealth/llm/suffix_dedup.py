@@ -1,13 +1,16 @@
 """Removing repeated byte strings by suffix order and longest-previous-factor arrays.
 
 Every window of LENGTH bytes has a key that only depends on its bytes: the least hash of
-the shorter strings inside it. Equal windows have equal keys, so windows are dealt out by
-key, neighbouring ones of one key as one region, and only regions whose key is found
-elsewhere are moved at all. Regions that meet are sorted into suffix order. There, the
-nearest entry above or below that starts earlier in the corpus is the longest earlier
-match, whose length is the longest previous factor; likewise the nearest one that starts
-later. Keys of very many windows are dealt to blocks, and the blocks' distinct windows
-are then matched by digest.
+the shorter strings inside it, rare ones before those that a sample shows to be frequent.
+Equal windows have equal keys, so windows are dealt out by key, neighbouring ones of one
+key as one region. Regions whose key is nowhere else have no repeats. Equal regions are
+repeats as a whole, which their digests show. Of the different regions of one key, one of
+each is sorted into suffix order. There, the nearest entry above or below that starts
+earlier in the corpus is the longest earlier match, whose length is the longest previous
+factor; likewise the nearest one that starts later. Keys of very many different regions
+are dealt to blocks, and the blocks' distinct windows are then matched by digest.
+
+The sample only decides which keys windows get, never what is a repeat.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codehealth.llm.common import cut, mixed, utf8
+from codehealth.llm.common import cut, likely_in, maybe_in, mixed, saved, utf8
 
 LENGTH = 400
 #: Length of the strings whose least hash is a window's key.
@@ -29,7 +32,10 @@ GRAM = 64
 #: Windows that are hashed together, and the most of one region.
 CHUNK, REGION = 1 << 19, 1 << 14
 #: Bytes of one block of a key, about, and of regions that are sorted together.
-BLOCK_BYTES, SORT_BYTES = 1 << 21, 1 << 20
+BLOCK_BYTES, SORT_BYTES = 1 << 19, 1 << 19
+#: Documents and bytes of each that show which short strings are frequent, and how many documents make one so.
+SAMPLE_DOCS, SAMPLE_BYTES, FREQUENT = 1000, 12_000, 6
+FREQUENT_BIT = np.uint64(1 << 63)
 BASE = 0x9E3779B97F4A7C15
 
 
@@ -64,21 +70,39 @@ def window_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[:m], ahead[width - 1 : width - 1 + m])
 
 
-def regions(data: bytes, length: int, gram: int) -> list[tuple[int, int, int, int]]:
-    """(key, first window, last window, places of the key, at most 2) of each run of windows of one key."""
+class Frequent:
+    """Hashes of frequent short strings."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = np.sort(hashes)
+        self.bits = np.zeros(1 << 20, bool)
+        self.bits[self.hashes & np.uint64((1 << 20) - 1)] = True
+
+    def ranked(self, hashes: np.ndarray) -> np.ndarray:
+        """The hashes with the top bit set for frequent ones and clear for others, so that others are less."""
+        out = hashes & ~FREQUENT_BIT
+        if len(self.hashes):
+            some = np.flatnonzero(self.bits[hashes & np.uint64((1 << 20) - 1)])
+            at = np.minimum(np.searchsorted(self.hashes, hashes[some]), len(self.hashes) - 1)
+            out[some[self.hashes[at] == hashes[some]]] |= FREQUENT_BIT
+        return out
+
+
+def regions(data: bytes, length: int, gram: int, frequent: Frequent) -> list[dict]:
+    """Runs of windows of one key: key, first and last window, places of the key (at most 2), digest of the run's bytes."""
     whole, out = np.frombuffer(data, np.uint8), []
     for at in range(0, len(whole) - length + 1, CHUNK):
         part = whole[at : at + CHUNK + length - 1]
-        hashes = gram_hashes(part, gram)
+        hashes = frequent.ranked(gram_hashes(part, gram))
         least = window_least(hashes, length - gram + 1)
         change = np.flatnonzero(least[1:] != least[:-1]) + 1
-        firsts = np.concatenate([[0], change, np.arange(REGION, len(least), REGION)])
-        firsts = np.unique(firsts)
+        firsts = np.unique(np.concatenate([[0], change, np.arange(REGION, len(least), REGION)]))
         lasts = np.append(firsts[1:], len(least)) - 1
         keys = least[firsts]
-        for k, a, b in zip(keys.tolist(), firsts.tolist(), lasts.tolist()):
-            places = int((hashes[a : b + length - gram + 1] == np.uint64(k)).sum())
-            out.append((k - (1 << 64) if k >> 63 else k, at + a, at + b, min(2, places)))
+        for k, h, a, b in zip(keys, keys.view(np.int64).tolist(), firsts.tolist(), lasts.tolist()):
+            places = int((hashes[a : b + length - gram + 1] == k).sum())
+            digest = xxhash.xxh3_128_digest(data[at + a : at + b + length])
+            out.append({"h": h, "a": at + a, "b": at + b, "places": min(2, places), "digest": digest})
     return out
 
 
@@ -95,7 +119,7 @@ class SuffixOrder:
         self.steps, self.ranks = [8], [self.ranked(first)]
         while self.steps[-1] * 2 <= length:
             step, rank = self.steps[-1], self.ranks[-1]
-            self.ranks.append(self.ranked(rank * np.int64(self.n + 2) + self.after(rank, step)))
+            self.ranks.append(self.ranked(rank.astype(np.int64) * (self.n + 2) + self.after(rank, step)))
             self.steps.append(step * 2)
 
     def after(self, rank: np.ndarray, step: int) -> np.ndarray:
@@ -108,8 +132,8 @@ class SuffixOrder:
     def ranked(self, keys: np.ndarray) -> np.ndarray:
         order = np.argsort(keys)
         sorted_ = keys[order]
-        out = np.empty(self.n, np.int64)
-        out[order] = np.cumsum(np.concatenate([[0], (sorted_[1:] != sorted_[:-1]).astype(np.int64)]))
+        out = np.empty(self.n, np.int32)
+        out[order] = np.cumsum(np.concatenate([[False], sorted_[1:] != sorted_[:-1]]), dtype=np.int32)
         return out
 
     def sort(self, starts: np.ndarray) -> np.ndarray:
@@ -237,26 +261,56 @@ class Sorter:
         return spans, cross
 
 
+def frequent_grams(docs: DataFrame, length: int, gram: int) -> np.ndarray:
+    """Hashes of the strings of ``gram`` bytes that FREQUENT or more of at most SAMPLE_DOCS documents have."""
+    some = docs.where(F.octet_length("data").between(length, SAMPLE_BYTES)).select("key", "data")
+    n = some.count()
+    some = some.where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < int(min(1.0, 2 * SAMPLE_DOCS / max(1, n)) * (1 << 30))).limit(SAMPLE_DOCS)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [np.unique(gram_hashes(np.frombuffer(d.as_py(), np.uint8), gram)) for batch in batches for d in batch.column(1)]
+        if found:
+            hashes, n = np.unique(np.concatenate(found), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(hashes[n >= FREQUENT].view(np.int64))], ["h"])
+
+    rows = some.coalesce(1).mapInArrow(count, "h long").collect()
+    return np.array([r["h"] for r in rows], np.int64).view(np.uint64)
+
+
 def removed_spans(docs: DataFrame, length: int, gram: int, keep_first: bool, block_bytes: int) -> tuple[DataFrame, DataFrame]:
     """(spans, texts): repeated bytes (key, begin, end) of distinct texts, and (key, rep, copies) of these."""
     texts = cut(docs.groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")))
+    long_ = docs.where(F.octet_length("data") >= length)
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_grams(docs, length, gram))
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("h", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("places", pa.int64())]))
+        kind = pa.list_(pa.struct([("h", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("places", pa.int64()), ("digest", pa.binary())]))
+        known = Frequent(frequent.value)
         for batch in batches:
-            rows = [[{"h": h, "a": a, "b": b, "places": p} for h, a, b, p in regions(d.as_py(), length, gram)] for d in batch.column(2)]
+            rows = [regions(d.as_py(), length, gram, known) for d in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, kind)], ["key", "id", "runs"])
 
-    long_ = docs.where(F.octet_length("data") >= length)
-    runs = long_.select("key", "id", "data").mapInArrow(keyed, "key binary, id long, runs array<struct<h:long,a:long,b:long,places:long>>")
+    found = long_.select("key", "id", "data").mapInArrow(keyed, "key binary, id long, runs array<struct<h:long,a:long,b:long,places:long,digest:binary>>")
     first = texts.select(F.col("key").alias("t_key"), "rep")
     one = F.col("key").eqNullSafe(F.col("t_key")) & F.col("id").eqNullSafe(F.col("rep"))
-    runs = cut(runs.join(first, one, "left_semi").dropDuplicates(["key"]).select("key", F.inline("runs")))
-    shared = runs.groupBy("h").agg(F.sum("places").alias("places"), F.sum(F.col("b") - F.col("a") + length).alias("bytes")).where("places > 1")
-    shared = shared.select("h", F.ceil(F.col("bytes") / block_bytes).cast("long").alias("blocks"))
-    wanted = runs.join(shared, "h").select("key", F.struct("h", F.pmod(F.xxhash64("key", "a"), F.col("blocks")).alias("salt"), (F.col("blocks") > 1).alias("split"), "a", "b").alias("run"))
-    wanted = wanted.groupBy("key").agg(F.collect_list("run").alias("runs"))
-    sources = long_.join(texts.select(F.col("key").alias("t_key"), "rep"), one).select("key", "rep", "data")
+    runs = saved(found.join(first, one).dropDuplicates(["key"]).select("key", "rep", "runs"), "regions").select("key", "rep", F.inline("runs"))
+    shared = cut(runs.groupBy("h").agg(F.sum("places").alias("n")).where("n > 1").select("h"))
+    # Each run that may have a repeat, in order of the corpus.
+    place = F.struct(F.col("rep").isNull().alias("null_rank"), F.col("rep").alias("rank"), "key", F.col("a").alias("begin"))
+    runs = saved(likely_in(runs, "h", shared).join(shared, "h").withColumn("place", place), "candidates")
+    kinds = runs.groupBy("h", "digest").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("least"), F.max("places").alias("places"))
+    kinds = cut(kinds)
+    equal = runs.join(kinds.where("n > 1").select("h", "digest", "least"), ["h", "digest"])
+    if keep_first:
+        equal = equal.where(F.col("place") != F.col("least"))
+    equal = equal.select("key", F.col("a").alias("begin"), (F.col("b") + length).alias("end"))
+    # One of each different region of a key goes on if the key has several, or if it may repeat itself.
+    several = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.max("places").alias("places")).where("n > 1 OR places > 1")
+    several = several.select("h", F.ceil(F.col("n") * 2 * length / block_bytes).cast("long").alias("blocks"))
+    reps = runs.join(kinds.select("h", "digest", "least"), ["h", "digest"]).where(F.col("place") == F.col("least")).join(several, "h")
+    wanted = reps.select("key", F.struct("h", F.pmod(F.xxhash64("key", "a"), F.col("blocks")).alias("salt"), (F.col("blocks") > 1).alias("split"), "a", "b").alias("run"))
+    wanted = cut(wanted.groupBy("key").agg(F.collect_list("run").alias("runs")))
+    sources = likely_in(long_, "key", wanted.select("key")).join(first, one).select("key", "rep", "data")
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -296,7 +350,7 @@ def removed_spans(docs: DataFrame, length: int, gram: int, keep_first: bool, blo
     more = cross.join(many, "digest")
     if keep_first:
         more = more.where(place != F.col("least"))
-    return spans.unionAll(more.select("key", "begin", (F.col("begin") + length).alias("end"))), texts
+    return spans.unionAll(more.select("key", "begin", (F.col("begin") + length).alias("end"))).unionAll(equal), texts
 
 
 REGION_SCHEMA = pa.schema([("h", pa.int64()), ("salt", pa.int64()), ("split", pa.bool_()), ("rep", pa.int64()), ("key", pa.binary()), ("a", pa.int64()), ("part", pa.binary())])
@@ -330,8 +384,10 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = rows.withColumn("key", F.unhex(F.substring(F.sha2("data", 256), 1, 32)))
     spans, texts = removed_spans(rows, length, gram, keep_first, block_bytes)
     spans = spans.groupBy("key").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
-    info = texts.join(spans, "key", "left")
-    joined = rows.join(info.select(F.col("key").alias("t_key"), "rep", "copies", "spans"), F.col("key") == F.col("t_key"))
+    info = cut(texts.join(spans, "key", "left").where("copies > 1 OR spans IS NOT NULL"))
+    # Most texts have no repeats; they don't move.
+    marked = maybe_in(rows, "key", info.select("key"))
+    joined = marked.where("__maybe").join(info.select(F.col("key").alias("t_key"), "rep", "copies", "spans"), F.col("key") == F.col("t_key"), "left")
     gone = (F.col("copies") > 1) & (F.octet_length("data") >= length)
     if keep_first:
         gone = gone & ~F.col("id").eqNullSafe(F.col("rep"))
@@ -349,5 +405,8 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 kept.append(b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2])))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(spans_, kind), pa.array(kept, pa.binary())], ["id", "n_bytes", "spans", "kept"])
 
-    out = joined.select("id", "data", "spans", gone.alias("whole"))
-    return out.mapInArrow(run, "id long, n_bytes long, spans array<struct<begin:long,end:long>>, kept binary").withColumnRenamed("id", id_col)
+    out = joined.select("id", "data", "spans", F.coalesce(gone, F.lit(False)).alias("whole"))
+    out = out.mapInArrow(run, "id long, n_bytes long, spans array<struct<begin:long,end:long>>, kept binary")
+    none = F.array().cast("array<struct<begin:bigint,end:bigint>>")
+    rest = marked.where("NOT __maybe").select("id", F.octet_length("data").cast("long").alias("n_bytes"), none.alias("spans"), F.col("data").alias("kept"))
+    return out.unionAll(rest).withColumnRenamed("id", id_col)
