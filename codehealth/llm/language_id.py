@@ -16,8 +16,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from codehealth.llm.common import unused
+
 TOP = 300
 #: Documents of each language that the profiles are learned from, at most.
 TRAIN_DOCS = 1000
@@ -142,8 +145,8 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return Profiles(dict(profiles), top)
 
 
-def predicted(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every row of ``docs`` with lang_pred, score and distance added under those names with a ``lid_`` prefix.
+def predicted(docs: DataFrame, profiles: Profiles, text_col: str = "text", new: tuple = ("lid_lang", "lid_score", "lid_distance")) -> DataFrame:
+    """Every row of ``docs`` with the predicted language, its score and its distance in columns named ``new``.
 
     ``lid_lang`` is ``und`` where text is null or has no letter, or no language was
     learned; ties go to the language first by code point. ``lid_score`` is how far the
@@ -156,11 +159,11 @@ def predicted(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [profiles.predict(t) for t in batch.column(place).to_pylist()]
-            new = [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.float64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*names, "lid_lang", "lid_score", "lid_distance"])
+            columns = [pa.array([g[k] for g in got], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.float64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*names, *new])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{fields}, lid_lang string, lid_score double, lid_distance double")
+    kinds = zip(new, (T.StringType(), T.DoubleType(), T.DoubleType()))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *[T.StructField(n, k) for n, k in kinds]]))
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", parts: int = 3, held: int = 1, **options) -> DataFrame:
@@ -168,12 +171,13 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     out = remainder(F.col(id_col), parts) == held
     profiles = learn(docs.where(~out), id_col, text_col, lang_col, **options)
     rows = docs.select(F.col(id_col).alias("id"), out.alias("held_out"), F.col(text_col).alias("text"))
-    found = predicted(rows, profiles, "id", "text")
+    found = predicted(rows, profiles)
     return found.select(F.col("id").alias(id_col), "held_out", F.col("lid_lang").alias("lang_pred"), F.col("lid_score").alias("score"))
 
 
 def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", parts: int = 3, held: int = 1, **options) -> DataFrame:
     """``docs`` without the rows of no language: no letter, or no n-gram that any profile has."""
     profiles = learn(docs.where(remainder(F.col(id_col), parts) != held), id_col, text_col, lang_col, **options)
-    found = predicted(docs, profiles, id_col, text_col)
-    return found.where((F.col("lid_lang") != UNKNOWN) & (F.col("lid_distance") < 1)).select(docs.columns)
+    new = tuple(unused(docs.columns, n) for n in ("lid_lang", "lid_score", "lid_distance"))
+    found = predicted(docs, profiles, text_col, new)
+    return found.where((F.col(new[0]) != UNKNOWN) & (F.col(new[2]) < 1)).select(docs.columns)
