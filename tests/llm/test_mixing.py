@@ -10,7 +10,7 @@ from codehealth.llm.mixing import balance, capped_shares, copies, mix, mixed_doc
 def corpus(n=900):
     rng = random.Random(3)
     sources = ["a", "b", "c", "d", None]
-    return [(k, "w " * int(rng.paretovariate(1.1) * 3), "en", sources[min(4, int(rng.random() ** 2 * 6))], 0) for k in range(n)]
+    return [(k, "w " * int(rng.paretovariate(1.8) * 3), "en", sources[min(4, int(rng.random() ** 2 * 6))], 0) for k in range(n)]
 
 
 def test_shares_are_capped_and_shared_again():
