@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codehealth.llm.common import cut
+from codehealth.llm.common import cut, unused
 
 #: Fixed by the query's contract.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -26,6 +26,8 @@ CAP = 3
 WORD = r"[^\x20\x09-\x0D]+"
 #: Most constraint values whose multipliers the driver holds: sources are a catalogue, not data.
 MAX_VALUES = 200_000
+#: Combinations of constraint values that one task handles.
+CELLS = 20_000
 #: Documents of one rounding chain, about.
 CHAIN = 4096
 
@@ -50,7 +52,7 @@ def by_code_point(values: list) -> list:
     return sorted((v for v in values if v is not None)) + [v for v in values if v is None]
 
 
-def balance(rows: DataFrame, columns: list[str], targets: list[dict], size: str = "size", cap: float = CAP, tolerance: float = 1e-10, steps: int = 80) -> list[dict]:
+def balance(rows: DataFrame, columns: list[str], targets: list[dict], size: str = "size", cap: float = CAP, tolerance: float = 1e-9, steps: int = 80) -> list[dict]:
     """Multipliers by constraint column and value, for which sum(size * rate) meets each target.
 
     ``rows`` has ``size`` and the constraint columns; ``targets[k]`` maps each value of
@@ -58,6 +60,7 @@ def balance(rows: DataFrame, columns: list[str], targets: list[dict], size: str
     with each other; those out of reach are met as closely as ``cap`` lets them be.
     """
     cells = cut(rows.groupBy(*columns).agg(F.sum(size).cast("double").alias("t")).where("t > 0"))
+    cells = cells.coalesce(1 + cells.count() // CELLS)
     keys = [(k, v) for k, t in enumerate(targets) for v in t]
     if len(keys) > MAX_VALUES:
         raise ValueError(f"{len(keys)} constraint values; at most {MAX_VALUES} are supported")
@@ -71,18 +74,22 @@ def balance(rows: DataFrame, columns: list[str], targets: list[dict], size: str
         df = cells
         for k, c in enumerate(columns):
             lam = spark.createDataFrame([(v, float(x[place[k, v]])) for v in targets[k]], f"v{k} {schema[c].dataType.simpleString()}, l{k} double")
-            df = df.join(lam, df[c].eqNullSafe(lam[f"v{k}"])).drop(f"v{k}")
+            # At most MAX_VALUES rows.
+            df = df.join(F.broadcast(lam), df[c].eqNullSafe(lam[f"v{k}"])).drop(f"v{k}")
         log = sum((F.col(f"l{k}") for k in range(len(columns))), F.lit(0.0))
         inside = F.exp(log)
         df = df.withColumn("log", log).withColumn("rate", F.least(inside, F.lit(float(cap))))
         df = df.withColumn("dual", F.when(F.col("log") <= float(np.log(cap)), inside).otherwise(cap * (1 + F.col("log") - float(np.log(cap)))))
-        sums = df.groupBy(*columns).agg(
-            F.sum(F.col("t") * F.col("rate")).alias("g"),
-            F.sum(F.when(F.col("log") < float(np.log(cap)), F.col("t") * F.col("rate")).otherwise(0.0)).alias("h"),
-            F.sum(F.col("t") * F.col("dual")).alias("d"),
+        # A cell is one combination of constraint values already, so nothing is shuffled here.
+        sums = df.select(
+            *columns,
+            (F.col("t") * F.col("rate")).alias("g"),
+            # Also where the cap holds: a zero would leave multipliers that went too far where they are.
+            (F.col("t") * F.col("rate")).alias("h"),
+            (F.col("t") * F.col("dual")).alias("d"),
         )
         grad, hess, value = -goal.copy(), {}, -float(goal @ x)
-        for row in sums.toLocalIterator():
+        for row in sums.collect():
             at_ = [place[k, row[c]] for k, c in enumerate(columns)]
             value += row["d"]
             for i in at_:
@@ -104,13 +111,18 @@ def balance(rows: DataFrame, columns: list[str], targets: list[dict], size: str
             for (i, j), v in hess.items():
                 full[i, j] = v
             step = np.linalg.lstsq(full, -grad, rcond=1e-12)[0]
-        scale = min(1.0, 2.0 / np.abs(step).max(initial=1e-300))
+        step = np.clip(step, -2.0, 1.0)
+        if len(columns) == 1:
+            # Beyond the cap's logarithm nothing changes, so multipliers stop there.
+            step = np.minimum(x + step, np.log(cap)) - x
+        scale = 1.0
         while True:
             new = at(x + scale * step)
-            if new[0] <= value + 1e-4 * scale * float(grad @ step) or scale < 1e-6:
+            # Close to the solution the value's rounding hides the descent, but the gradient still shrinks.
+            if new[0] <= value + 1e-4 * scale * float(grad @ step) or np.abs(new[1]).max() <= 0.5 * np.abs(grad).max() or scale < 1e-6:
                 break
             scale /= 2
-        done = new[0] >= value and scale < 1e-6
+        done = np.abs(new[1]).max() >= np.abs(grad).max() and scale < 1e-6
         x = x + scale * step
         value, grad, hess = new
         if done:
@@ -181,13 +193,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def mixed_docs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """``docs`` that the mix takes at least once, with ``mix_copies`` and ``mix_taken``; other columns stay as they are.
+    """``docs`` that the mix takes at least once, with ``mix_copies`` and ``mix_taken`` (with underscores before, if ``docs`` has them).
 
-    Rows are matched by id, source and size, so ids should not repeat; rows that do are
-    all taken as often as the most taken of them.
+    Rows are matched by id and size, so ids should not repeat; rows that do are all taken
+    as often as the most taken of them.
     """
     size = F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long")
+    names = [unused(docs.columns, n) for n in ("mix_copies", "mix_taken")]
     plan = mix(docs, id_col, text_col, source_col, **options)
-    plan = plan.groupBy(F.col(id_col).alias("__id"), F.col("size").alias("__size")).agg(F.max("copies").alias("mix_copies"), F.max("taken").alias("mix_taken"))
+    plan = plan.groupBy(F.col(id_col).alias("__id"), F.col("size").alias("__size")).agg(F.max("copies").alias(names[0]), F.max("taken").alias(names[1]))
     same = docs[id_col].eqNullSafe(plan["__id"]) & (size == plan["__size"])
-    return docs.join(plan.where("mix_copies > 0"), same).drop("__id", "__size")
+    return docs.join(plan.where(F.col(names[0]) > 0), same).select(*[docs[c] for c in docs.columns], *[plan[n] for n in names])

@@ -49,6 +49,13 @@ def test_two_constraints_at_once(spark):
             assert sum(r[1] * rate[r[0]] for r in rows if r[k] == v) == pytest.approx(goal, rel=1e-4)
 
 
+@pytest.mark.parametrize("ratio", [0.01, 0.5, 1.0, 2.0, 2.6, 2.9, 2.999, 3.0])
+def test_every_ratio_up_to_the_cap_is_met(spark, ratio):
+    df = spark.createDataFrame([(100, "a"), (700, "b"), (200, "b")], "size long, s string")
+    lam = balance(df, ["s"], [{"a": 100 * ratio, "b": 900 * 0.7}])[0]
+    assert min(3.0, np.exp(lam["a"])) == pytest.approx(ratio, rel=1e-5) and np.exp(lam["b"]) == pytest.approx(0.7)
+
+
 def test_rounding_hands_errors_on(spark):
     rows = [(k, 1 + k % 9, 0.37, "s") for k in range(500)]
     got = copies(spark.createDataFrame(rows, "id long, size long, rate double, chain string"), ["chain"]).collect()
