@@ -25,7 +25,7 @@ def gini(rows: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
     sums = upto.groupBy(*by).agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("x")).alias("total"), F.sum(rank_sum * F.col("x")).alias("ranked"))
     raw = (2 * F.col("ranked") - (F.col("n") + 1) * F.col("total")) / (F.col("n") * F.col("total"))
     clear = F.when((F.col("n") <= 1) | (F.col("total") == 0), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)))
-    return sums.select(*by, clear.alias("gini"))
+    return sums.where("n IS NOT NULL").select(*by, clear.alias("gini"))
 
 
 def score_columns(q: Column, cycles: Column, depth: Column, gini_: Column, ratio: Column) -> dict[str, Column]:
