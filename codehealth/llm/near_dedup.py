@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codehealth.llm.common import Hashes, cut, mixed, shingles, utf8, word_hashes
+from codehealth.llm.common import Hashes, cut, likely_in, mixed, shingles, utf8, word_hashes
 from codehealth.llm.components import connected
 
 WORDS, SIMILAR = 5, 0.8
@@ -227,7 +227,8 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     totals = totals.select("cluster", "n", F.greatest(F.ceil(F.col("n") / block_docs), F.ceil(F.col("bytes") / block_bytes)).cast("int").alias("blocks"))
     homes = cut(sized.join(totals, "cluster").withColumn("home", F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int")).drop("size"))
     # The join is the same at every size, and the candidates' texts are moved once for both passes.
-    texts = cut(keyed.join(homes.select("id").hint("merge"), "id"))
+    wanted = homes.select("id")
+    texts = cut(likely_in(keyed, "id", wanted).join(wanted.hint("merge"), "id"))
     everywhere = F.sequence(F.lit(0), F.col("blocks") - 1)
     anchor = (F.col("blocks") > 1) & (share("id", 1) < F.lit(float(anchors)) / F.col("n"))
     members = homes.select("cluster", "id", F.col("id").alias("known"), F.lit(False).alias("visits"), F.explode(F.when(anchor, everywhere).otherwise(F.array("home"))).alias("block"))
