@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from codehealth.session import cut
 
 ROUNDS = 10_000
+#: Hops of one job; each refers to the one before once, so the plan grows with their number only.
+HOPS = 4
+#: Edges of one partition, about: a loop on few edges is one task without shuffles, on many an ordinary plan.
+PART_EDGES = 200_000
 
 
 class GraphError(ValueError):
@@ -96,60 +100,89 @@ def components(edges: DataFrame) -> DataFrame:
     return cut(found) if found is not None else edges.sparkSession.createDataFrame([], f"id {kind}, scc {kind}")
 
 
+def inner(edges: DataFrame) -> DataFrame:
+    """``edges`` without those from nodes that none enters or to nodes that none leaves."""
+    ends = edges.select(F.col("dst").alias("src")).distinct()
+    starts = edges.select(F.col("src").alias("dst")).distinct()
+    return edges.join(ends, "src", "left_semi").join(starts, "dst", "left_semi").select("src", "dst")
+
+
 def trimmed(edges: DataFrame) -> DataFrame:
-    """``edges`` without those of nodes that lack incoming or outgoing ones, as long as that goes on for few rounds."""
-    for _ in range(8):
-        n = edges.count()
-        ends = edges.select(F.col("dst").alias("src")).distinct()
-        starts = edges.select(F.col("src").alias("dst")).distinct()
-        less = cut(edges.join(ends, "src", "left_semi").join(starts, "dst", "left_semi").select("src", "dst"))
-        if less.count() == n:
-            return less
-        edges = less
+    """``edges`` without the outermost nodes, which are in no cycle, for as long as that takes few rounds."""
+    n = edges.count()
+    for _ in range(4):
+        edges = cut(inner(inner(edges.coalesce(1 + n // PART_EDGES))))
+        before, n = n, edges.count()
+        if n == before:
+            break
     return edges
 
 
+def dealt(edges: DataFrame) -> tuple[DataFrame, int]:
+    """``edges``, computed, in as many partitions as their number asks for, and that number of partitions."""
+    edges = cut(edges)
+    parts = 1 + edges.count() // PART_EDGES
+    return edges.coalesce(parts), parts
+
+
+def spread(state: DataFrame, edges: DataFrame, value: str, along) -> DataFrame:
+    """``state`` (id, value) after some hops along ``edges`` (src, dst): the largest of each node's own and what reaches it.
+
+    ``along`` makes the value that arrives from the value that is sent.
+    """
+    for _ in range(HOPS):
+        sent = state.join(edges, F.col("id") == F.col("src"), "left")
+        pairs = F.array(F.struct("id", value), F.struct(F.col("dst").alias("id"), along(F.col(value)).alias(value)))
+        state = sent.select(F.explode(pairs).alias("p")).select("p.*").where("id IS NOT NULL").groupBy("id").agg(F.max(value).alias(value))
+    return state
+
+
+def settled(state: DataFrame, edges: DataFrame, value: str, along) -> DataFrame:
+    """``spread`` until nothing changes."""
+    edges, parts = dealt(edges)
+    state = cut(state).coalesce(parts)
+    for _ in range(ROUNDS):
+        before = state.select("id", F.col(value).alias("before"))
+        new = cut(spread(state, edges, value, along).join(before, "id"))
+        state = new.select("id", value).coalesce(parts)
+        if new.where(F.col(value) != F.col("before")).isEmpty():
+            return state
+    raise RuntimeError("values did not settle")
+
+
+def vertices(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
+
+
 def coloured(edges: DataFrame) -> DataFrame:
     """(id, color): the largest id that reaches each node, itself included."""
-    color = cut(edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct().withColumn("color", F.col("id")))
-    for _ in range(ROUNDS):
-        sent = edges.join(color.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id"), "color")
-        new = cut(color.withColumn("old", F.col("color")).unionByName(sent.withColumn("old", F.lit(None).cast(color.schema["color"].dataType))).groupBy("id").agg(F.max("color").alias("color"), F.max("old").alias("old")))
-        color = new.select("id", "color")
-        if new.where("color <> old").isEmpty():
-            return color
-    raise RuntimeError("colours did not settle")
+    return settled(vertices(edges).withColumn("color", F.col("id")), edges, "color", lambda c: c)
 
 
 def reached(seeds: DataFrame, edges: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """``seeds`` (id and ``keys``) and all that ``edges`` (src, dst and ``keys``) lead to from them, breadth first."""
     keys = keys or []
-    visited = frontier = cut(seeds.select("id", *keys).distinct())
-    parts = [visited]
-    for _ in range(ROUNDS):
-        step = frontier.withColumnRenamed("id", "src").join(edges, ["src", *keys]).select(F.col("dst").alias("id"), *keys).distinct()
-        frontier = cut(step.join(visited, ["id", *keys], "left_anti"))
+    edges, parts = dealt(edges.select("src", "dst", *keys))
+    visited = frontier = cut(seeds.select("id", *keys).distinct()).coalesce(parts)
+    for k in range(ROUNDS):
+        near = frontier
+        for _ in range(HOPS):
+            step = near.withColumnRenamed("id", "src").join(edges, ["src", *keys], "left")
+            near = step.select(F.explode(F.array("src", "dst")).alias("id"), *keys).where("id IS NOT NULL").distinct()
+        frontier = cut(near.join(visited, ["id", *keys], "left_anti")).coalesce(parts)
         if frontier.isEmpty():
             return visited
-        parts.append(frontier)
-        visited = visited.unionAll(frontier)
-        if len(parts) > 16:
+        visited = visited.unionAll(frontier).coalesce(parts)
+        if k % 8 == 7:
             visited = cut(visited)
-            parts = [visited]
     raise RuntimeError("reachability did not settle")
 
 
 def heights(edges: DataFrame) -> DataFrame:
-    """(id, height): the edges of the longest path from each node of an acyclic graph, by rounds from the sinks up."""
-    pairs = edges.select("src", "dst").distinct()
-    height = cut(pairs.select(F.col("src").alias("id")).union(pairs.select("dst")).distinct().withColumn("height", F.lit(0)))
-    for _ in range(ROUNDS):
-        up = pairs.join(height.withColumnRenamed("id", "dst"), "dst").select(F.col("src").alias("id"), (F.col("height") + 1).alias("new"))
-        new = cut(height.join(up.groupBy("id").agg(F.max("new").alias("new")), "id", "left").select("id", F.greatest("height", F.coalesce("new", "height")).alias("height"), (F.coalesce("new", "height") > F.col("height")).alias("changed")))
-        height = new.select("id", "height")
-        if new.where("changed").isEmpty():
-            return height
-    raise RuntimeError("heights did not settle")
+    """(id, height): the edges of the longest path from each node of an acyclic graph, from the sinks up."""
+    pairs = cut(edges.select("src", "dst").distinct())
+    back = pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return settled(vertices(pairs).withColumn("height", F.lit(0)), back, "height", lambda h: h + 1)
 
 
 def longest_path(starts: DataFrame, edges: DataFrame, acyclic: bool) -> tuple[int, list]:
