@@ -24,6 +24,7 @@ from codehealth.llm.common import unused
 TOP = 300
 #: Documents of each language that the profiles are learned from, at most.
 TRAIN_DOCS = 1000
+SALTS = 32
 UNKNOWN = "und"
 CHUNK = 1 << 20
 BLANK = np.uint32(32)
@@ -123,8 +124,11 @@ def remainder(id_: Column, n: int) -> Column:
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = TRAIN_DOCS, top: int = TOP) -> Profiles:
     """Profiles of the languages of ``docs``' rows with language and text; at most ``train_docs`` rows of each, by hash of the id."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang IS NOT NULL AND text IS NOT NULL")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = rows.select("id", "lang").withColumn("k", F.row_number().over(order)).where(F.col("k") <= train_docs)
+    # First within salts, so that no task ranks all rows of a frequent language.
+    chosen = rows.select("id", "lang", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(SALTS)).alias("salt"))
+    for keys in (["lang", "salt"], ["lang"]):
+        order = Window.partitionBy(*keys).orderBy(F.xxhash64("id"), "id")
+        chosen = chosen.withColumn("k", F.row_number().over(order)).where(F.col("k") <= train_docs).drop("k")
     chosen = chosen.select(F.col("id").alias("c_id"), F.col("lang").alias("c_lang")).distinct()
     some = rows.join(F.broadcast(chosen), rows["id"].eqNullSafe(chosen["c_id"]) & (rows["lang"] == chosen["c_lang"])).select("lang", "text")
 
