@@ -16,6 +16,7 @@ they don't join visits every block, so that no pair of different classes goes un
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,8 @@ WORDS, SIMILAR = 5, 0.8
 BANDS, ROWS = 28, 5
 #: A pair is verified if its signatures' agreement is within this many standard deviations of SIMILAR.
 DEVIATIONS = 4.5
+#: Similarities this close to SIMILAR are compared in integers; far more than sums of floats are off.
+ROUNDING = 1e-6
 #: Documents and bytes of a block, about, and documents that are in all blocks of a cluster, about.
 BLOCK_DOCS, BLOCK_BYTES, ANCHORS = 512, 1 << 23, 64
 
@@ -101,6 +104,37 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float((1 / (above[cut_] / x[both] + below[cut_] / y[both])).sum())
 
 
+def exact_similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> Fraction:
+    """``similarity`` without rounding, by whole counts: shingles of one ratio have one denominator."""
+    keys = np.union1d(a[0], b[0])
+    x, y = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+    x[np.searchsorted(keys, a[0])], y[np.searchsorted(keys, b[0])] = a[1], b[1]
+    pairs, n = np.unique(np.stack([x, y], 1), axis=0, return_counts=True)
+    by_ratio: dict[Fraction, list[int]] = {}
+    above, below, out = 0, 0, Fraction(0)
+    for (p, q), k in zip(pairs.tolist(), n.tolist()):
+        if q:
+            sums = by_ratio.setdefault(Fraction(p, q), [0, 0])
+            sums[0] += p * k
+            sums[1] += q * k
+        # A ratio without end is above all others.
+        above += p * k
+    for ratio in sorted(by_ratio):
+        p, q = by_ratio[ratio]
+        if p:
+            out += Fraction(p * ratio.denominator, above * ratio.denominator + below * ratio.numerator)
+        above, below = above - p, below + q
+    return out
+
+
+def alike(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], similar: float) -> bool:
+    """Whether the exact similarity is ``similar`` or more, ``similar`` taken as the decimal number it is written as."""
+    found = similarity(a, b)
+    if abs(found - similar) > ROUNDING:
+        return found >= similar
+    return exact_similarity(a, b) >= Fraction(repr(float(similar)))
+
+
 class Block:
     """Documents of one block: their signatures and weighted shingles, and who is connected with whom."""
 
@@ -148,7 +182,7 @@ class Block:
             near = np.flatnonzero(agree >= self.least)
             for p in near[np.argsort(-agree[near], kind="stable")].tolist():
                 j = order[p]
-                if find(i) != find(j) and similarity(self.sets[i], self.sets[j]) >= self.similar:
+                if find(i) != find(j) and alike(self.sets[i], self.sets[j], self.similar):
                     root[find(i)] = find(j)
                     out.append((self.ids[i], self.ids[j]))
         return out

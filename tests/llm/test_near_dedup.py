@@ -1,5 +1,6 @@
 import random
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -9,7 +10,7 @@ from tests.llm.helpers import docs, sentence, with_clashes
 
 from codehealth.llm import common
 from codehealth.llm.components import connected
-from codehealth.llm.near_dedup import near_classes, near_dedup, signature, similarity, weighted
+from codehealth.llm.near_dedup import alike, exact_similarity, near_classes, near_dedup, signature, similarity, weighted
 
 
 def brute_similarity(a: dict, b: dict) -> float:
@@ -34,6 +35,41 @@ def test_similarity_against_its_definition(a, b):
     assert similarity(*arrays) == pytest.approx(exact)
 
 
+@given(st.dictionaries(st.integers(0, 9), st.integers(1, 5), min_size=1), st.dictionaries(st.integers(0, 9), st.integers(1, 5), min_size=1))
+@settings(max_examples=200, deadline=None)
+def test_exact_similarity_against_its_definition(a, b):
+    arrays = [(np.array(sorted(x), np.uint64), np.array([x[k] for k in sorted(x)])) for x in (a, b)]
+    m, n = sum(a.values()), sum(b.values())
+    x, y = ({k: Fraction(v, s) for k, v in c.items()} for c, s in ((a, m), (b, n)))
+    want = sum((1 / sum(max(x.get(e, 0) / x[d], y.get(e, 0) / y[d]) for e in x.keys() | y.keys()) for d in x.keys() & y.keys()), Fraction(0))
+    assert exact_similarity(*arrays) == want
+
+
+def plain_set(first, size):
+    return np.arange(first, first + size, dtype=np.uint64), np.ones(size, np.int64)
+
+
+def test_the_threshold_itself_is_similar_enough():
+    for u in range(5, 400, 5):
+        shared = 4 * u // 5
+        for own in range(u - shared + 1):
+            a, b = plain_set(0, shared + own), plain_set(own, u - own)
+            want = exact_similarity(a, b)
+            assert alike(a, b, 0.8) == (want >= Fraction(4, 5))
+            if own in (0, u - shared):
+                assert want == Fraction(4, 5)
+    assert not alike(plain_set(0, 4000), plain_set(0, 5001), 0.8)
+
+
+def test_copies_at_the_threshold_are_linked(spark):
+    rows, want = [], {}
+    for k, (n, change) in enumerate([(49, lambda w: [*w[:24], "other", *w[25:]]), (13, lambda w: [*w[:-1], "other"]), (16, lambda w: [*w, "x", "y", "z"])]):
+        text = [f"w{k}x{j}" for j in range(n)]
+        rows += [(2 * k, " ".join(text)), (2 * k + 1, " ".join(change(text)))]
+        want |= {2 * k: 2 * k + 1, 2 * k + 1: 2 * k + 1}
+    assert {r["doc_id"]: r["class_id"] for r in near_classes(docs(spark, rows)).collect()} == want
+
+
 def test_signatures_agree_as_often_as_texts_are_similar():
     rng = np.random.default_rng(4)
     for _ in range(4):
