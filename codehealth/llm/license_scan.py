@@ -37,10 +37,18 @@ TEMPLATES = {
         distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is
         furnished to do so, subject to the following conditions: The above copyright notice and this permission notice
         <<beginOptional>>(including the next paragraph)<<endOptional>> shall be included in all copies or substantial
-        portions of the Software.""",
+        portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED,
+        INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND
+        NONINFRINGEMENT. IN NO EVENT SHALL <<var;words="1-16">> BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY,
+        WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR
+        THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
     "ISC": """Permission to use, copy, modify, <<beginOptional>>and/or<<endOptional>> <<beginOptional>>and<<endOptional>> distribute this software for any purpose with
         or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in
-        all copies.""",
+        all copies. THE SOFTWARE IS PROVIDED "AS IS" AND <<var;words="1-16">> DISCLAIMS ALL WARRANTIES WITH REGARD TO
+        THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL
+        <<var;words="1-16">> BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES
+        WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER
+        TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
     "Apache-2.0": """licensed under the Apache license, version 2.0 <<beginOptional>>(the "License"); you may not use
         <<var;words="1-4">> except in compliance with the License<<endOptional>>""",
     "GPL-2.0": 'GNU general public license<<beginOptional>> as published by <<var;words="1-6">> either<<endOptional>> version 2<<beginOptional>>.0<<endOptional>> <<beginOptional>>of the license<<endOptional>> <<beginOptional>>or (at your option) any later version<<endOptional>>',

@@ -32,6 +32,38 @@ def test_mandatory_wording_must_match_exactly():
     assert "MIT" not in labels(text.replace("sublicense", "subvert"))
 
 
+MIT_TEXT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to
+whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the
+Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR
+COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR
+OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+ISC_TEXT = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
+granted, provided that the above copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED
+WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR
+CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF
+CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS
+SOFTWARE."""
+
+
+def test_disclaimers_are_mandatory():
+    assert labels(MIT_TEXT) == {"MIT"} and labels(ISC_TEXT) == {"ISC"}
+    assert labels(MIT_TEXT.replace("THE AUTHORS OR\nCOPYRIGHT HOLDERS", "EXAMPLE INC.")) == {"MIT"}
+    for text in (MIT_TEXT, ISC_TEXT):
+        permission, disclaimer = text.split("THE SOFTWARE IS PROVIDED")
+        assert labels(permission) == set()
+        assert labels(permission + "The Software shall be used for Good, not Evil. THE SOFTWARE IS PROVIDED" + disclaimer) == set()
+        assert labels(text.replace("TORT", "COURT")) == set()
+
+
 def test_base_counts_against_brute_force(spark):
     texts = [
         None, "", "the MIT License and the mit--license, mit\nlicense", "Apache license, Version 2.0; licensed under the Apache License 2.0", "cc by cc by cc", "CC BY-NC 4.0",
