@@ -142,8 +142,8 @@ class PrefixCounter(dict):
             if part:
                 yield part if part in self.specials else self.normalized(part)
 
-    def chunks(self, text: str) -> list[tuple[str, int]]:
-        """(chunk, tokens up to its end) in text order: the stored prefix table, which needs no encoding to read."""
+    def table(self, text: str) -> tuple[list[str], np.ndarray]:
+        """The chunks in text order and the tokens up to the end of each: the prefix table, which needs no encoding to read."""
         found, counts = [], []
         for part in self.parts(text):
             if part in self.specials:
@@ -153,14 +153,17 @@ class PrefixCounter(dict):
                 more = white_split(part)
                 found += more
                 counts += map(self.__getitem__, more)
-        return list(zip(found, np.cumsum(counts).tolist())) if found else []
+        return found, np.cumsum(counts, dtype=np.int64)
+
+    def chunks(self, text: str) -> list[tuple[str, int]]:
+        """(chunk, tokens up to its end): the table's rows."""
+        found, ends = self.table(text)
+        return list(zip(found, ends.tolist()))
 
     def total(self, text: str) -> int:
         """The table's last entry."""
-        n = 0
-        for part in self.parts(text):
-            n += 1 if part in self.specials else sum(map(self.__getitem__, white_split(part)))
-        return n
+        ends = self.table(text)[1]
+        return int(ends[-1]) if len(ends) else 0
 
     def prefixes(self, text: str) -> np.ndarray:
         """Tokens of every prefix of the normalized text, from no character to all of them."""

@@ -28,6 +28,13 @@ def test_totals(text):
     assert (TABLE.chunks(text) or [("", 0)])[-1][1] == library(text)
 
 
+def test_totals_are_read_off_the_table(monkeypatch):
+    found, ends = TABLE.table("the quick  brown fox")
+    assert found == ["the", "quick", "brown", "fox"] and ends.tolist() == [library(" ".join(found[:k])) for k in range(1, 5)]
+    monkeypatch.setattr(TABLE, "table", lambda text: (found, ends + 7))
+    assert TABLE.total("the quick brown fox") == ends[-1] + 7
+
+
 @given(st.text(st.characters(codec="utf-8"), max_size=60))
 @settings(max_examples=300, deadline=None)
 def test_totals_of_any_text(text):
