@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codehealth.session import cut, new_dir
 
-__all__ = ["Hashes", "cut", "likely_in", "maybe_in", "mixed", "new_dir", "pieces", "saved", "shingles", "table", "unused", "utf8", "word_hashes", "words"]
+__all__ = ["Hashes", "cut", "join_groups", "likely_in", "maybe_in", "mixed", "new_dir", "pieces", "saved", "shingles", "table", "unused", "utf8", "without", "word_hashes", "words"]
 
 #: A-Z become a-z; every ASCII byte that is neither letter nor digit becomes a space.
 WORD_BYTES = bytes(
@@ -90,22 +90,48 @@ def saved(df: DataFrame, what: str) -> DataFrame:
 FILTER_WORDS = 1 << 20
 
 
-def maybe_in(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
-    """``rows`` with ``__maybe``: false only if ``key`` is surely not among ``keys`` (one column), by a bitmap of fixed size."""
-    place = F.pmod(F.xxhash64(key), F.lit(FILTER_WORDS * 64))
+def maybe_in(rows: DataFrame, key: str, keys: DataFrame, flag: str = "__maybe") -> DataFrame:
+    """``rows`` with ``flag``: false only if ``key`` is surely not among ``keys`` (one column), by a bitmap of fixed size."""
     (name,) = keys.columns
-    own = F.pmod(F.xxhash64(name), F.lit(FILTER_WORDS * 64))
-    words = keys.select((own / 64).cast("long").alias("__word"), F.expr("shiftleft(1L, CAST(pmod(xxhash64({0}), 64) AS INT))".format(f"`{name}`")).alias("__one"))
-    words = words.groupBy("__word").agg(F.bit_or("__one").alias("__bits"))
-    marked = rows.withColumn("__at", (place / 64).cast("long")).withColumn("__bit", F.pmod(F.xxhash64(key), F.lit(64)).cast("int"))
-    found = marked.join(F.broadcast(words), F.col("__at") == F.col("__word"), "left")
-    hit = F.coalesce(F.getbit("__bits", F.col("__bit")) == 1, F.lit(False))
-    return found.withColumn("__maybe", hit).drop("__at", "__bit", "__word", "__bits")
+    word, bits = unused(rows.columns, "__word"), unused(rows.columns, "__bits")
+    own, place = (F.pmod(F.xxhash64(F.col(f"`{c}`")), F.lit(FILTER_WORDS * 64)) for c in (name, key))
+    one = F.expr(f"shiftleft(1L, CAST(pmod(xxhash64(`{name}`), 64) AS INT))")
+    words = keys.select((own / 64).cast("long").alias(word), one.alias("one")).groupBy(word).agg(F.bit_or("one").alias(bits))
+    found = rows.join(F.broadcast(words), (place / 64).cast("long") == F.col(word), "left")
+    hit = F.coalesce(F.getbit(bits, F.pmod(F.xxhash64(F.col(f"`{key}`")), F.lit(64)).cast("int")) == 1, F.lit(False))
+    return found.withColumn(flag, hit).drop(word, bits)
 
 
 def likely_in(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     """``rows`` without most of those whose ``key`` isn't among ``keys``: what is left to an exact join."""
-    return maybe_in(rows, key, keys).where("__maybe").drop("__maybe")
+    flag = unused(rows.columns, "__maybe")
+    return maybe_in(rows, key, keys, flag).where(f"`{flag}`").drop(flag)
+
+
+def without(rows: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
+    """``rows`` whose ``key`` isn't among ``keys`` (one column, computed); only rows that may have to go are moved."""
+    own, flag = unused(rows.columns, "__key"), unused(rows.columns, "__maybe")
+    (name,) = keys.columns
+    gone = keys.select(F.col(name).alias(f"{own}_gone"))
+    marked = maybe_in(rows.withColumn(own, key), own, gone, flag)
+    moved = marked.where(f"`{flag}`").join(gone, F.col(own) == F.col(f"{own}_gone"), "left_anti")
+    return marked.where(f"NOT `{flag}`").select(rows.columns).unionAll(moved.select(rows.columns))
+
+
+#: Groups of more than a HOT_GROUPS-th of all rows, of which there are fewer than that, have their rows dealt to SALTS places.
+HOT_GROUPS, SALTS = 1000, 32
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
+    """``rows`` joined to ``groups`` on ``key``, where ``size`` rows have a group's key; a group may hold most of them."""
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    large = F.col(size) > F.lit(total / HOT_GROUPS)
+    # Fewer than HOT_GROUPS rows.
+    hot = F.broadcast(groups.where(large).select(F.col(key).alias("__hot")))
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns if c != key]), F.lit(SALTS)).cast("int")
+    dealt = rows.join(hot, F.col(key) == F.col("__hot"), "left").withColumn("__salt", F.when(F.col("__hot").isNotNull(), salt).otherwise(0)).drop("__hot")
+    places = F.when(large, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return dealt.join(groups.withColumn("__salt", F.explode(places)), [key, "__salt"]).drop("__salt")
 
 
 PIECE = 1 << 20

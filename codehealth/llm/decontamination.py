@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from codehealth.llm.common import Hashes, mixed, shingles, unused, utf8, word_hashes
+from codehealth.llm.common import Hashes, cut, mixed, shingles, utf8, without, word_hashes
 
 WORDS, CONTAINED, MISS = 5, 0.8, 1e-9
 #: Shingles of one block of items, which is what is broadcast at once: 8 bytes each.
@@ -144,7 +144,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
 def decontaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` without the rows whose id and text contain an item; columns and other rows stay as they are."""
-    key = unused(docs.columns, "__key")
-    keyed = docs.withColumn(key, F.struct(F.col(id_col), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))).cast("string"))
-    bad = contaminated(keyed, items, key, text_col, **options).select(key).distinct()
-    return keyed.join(bad, key, "left_anti").select(docs.columns)
+    name = F.struct(F.col(id_col), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))).cast("string")
+    named = docs.select(name.alias("name"), F.col(text_col).alias("text"))
+    bad = cut(contaminated(named, items, "name", "text", **options).select("name").distinct())
+    return without(docs, name, bad)

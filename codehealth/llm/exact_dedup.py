@@ -1,9 +1,10 @@
 """Exact deduplication that compares full content and survives skew, in DataFrame operations only.
 
-Combining takes three stages: Spark's partial aggregation drops copies inside each
-input split, a salted aggregation merges copies within (digest, salt), and a last one
-merges the salts' winners. Each stage groups by the digest and by the content itself,
-so two different texts of one digest never merge.
+A text whose digest no other row has can't have a copy; it stays where it is. The others
+are combined in three stages: Spark's partial aggregation drops copies inside each input
+split, a salted aggregation merges copies within (digest, salt), and a last one merges
+the salts' winners. Each stage groups by the digest and by the content itself, so two
+different texts of one digest never merge.
 """
 
 from __future__ import annotations
@@ -11,9 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codehealth.llm.common import cut
-
-SALTS = 32
+from codehealth.llm.common import SALTS, cut, join_groups, maybe_in, without
 
 
 def sha256_of(text: Column) -> Column:
@@ -31,6 +30,10 @@ def dedup_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("content"))
     rows = rows.withColumn("digest", digest(F.col("content")))
+    several = cut(rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest"))
+    marked = maybe_in(rows, "digest", several)
+    alone = marked.where("NOT __maybe").select("digest", "id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
+    rows = marked.where("__maybe").drop("__maybe")
     salted = (
         rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)))
         .groupBy("digest", "salt", "content")
@@ -47,7 +50,7 @@ def dedup_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         )
     )
     one = classes.where("contents = 1").select("digest", "keep_id", "group_size")
-    found = rows.select("id", "digest").join(one, "digest")
+    found = alone.unionByName(join_groups(rows.select("id", "digest"), one, "digest", "group_size"))
     shared = classes.where("contents > 1").select("digest")
     if not shared.isEmpty():
         # Different texts share a digest: these rows are matched by their content as well.
@@ -67,7 +70,7 @@ def dedup_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that ``dedup_classes`` doesn't keep; all columns stay as they are."""
+    name = F.coalesce(F.concat(F.lit("="), F.col(id_col).cast("string")), F.lit("-"))
     lost = dedup_classes(docs, id_col, text_col).where("not kept")
-    lost = lost.select(F.col(id_col).alias("__id"), F.col("digest").alias("__digest")).distinct()
-    same = docs[id_col].eqNullSafe(lost["__id"]) & (sha256_of(F.coalesce(docs[text_col], F.lit(""))) == lost["__digest"])
-    return docs.join(lost, same, "left_anti")
+    lost = cut(lost.select(F.concat(name, F.lit(":"), "digest").alias("name")).distinct())
+    return without(docs, F.concat(name, F.lit(":"), sha256_of(F.coalesce(F.col(text_col), F.lit("")))), lost)

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -160,47 +160,54 @@ def copies(rows: DataFrame, chain: list[str], cap: int = CAP) -> DataFrame:
     return dealt.mapInArrow(run, schema)
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, cap: int = CAP) -> DataFrame:
-    """One row per row of ``docs``: id, size, source_size, target, taken, copies, rate.
+def words_of(text_col: str) -> Column:
+    return F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long")
 
-    Sizes count runs of non-white-space (null text: 0). Sources by code point, null last,
-    get ``weights`` in turn. Documents without words get copies but take no words; an
-    empty table gives an empty result; repeated rows count as often as they occur; other
-    columns are ignored.
-    """
-    rows = cut(
-        docs.select(
-            F.col(id_col).alias("id"),
-            F.col(source_col).alias("source"),
-            F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        )
-    )
-    stats = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
+
+def planned(rows: DataFrame, weights: tuple, cap: int) -> DataFrame:
+    """(s, source_size, target, rate, chains) of each source of ``rows`` (source, size)."""
+    rows = cut(rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")))
+    stats = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("n"))
     found = {r["source"]: (r["source_size"], r["n"]) for r in stats.limit(MAX_VALUES + 1).collect()}
     if len(found) > MAX_VALUES:
         raise ValueError(f"more than {MAX_VALUES} sources are not supported")
     order = by_code_point(list(found))
     sizes = {s: found[s][0] for s in order}
     targets = capped_shares(sizes, {s: weights[k % len(weights)] for k, s in enumerate(order)}, cap)
-    lam = balance(rows, ["source"], [targets], cap=cap)[0]
+    lam = balance(rows.withColumn("size", F.col("size") * F.col("n")), ["source"], [targets], cap=cap)[0]
     plan = [(s, sizes[s], targets[s], float(min(cap, np.exp(lam[s]))) if sizes[s] else 1.0, -(-found[s][1] // CHAIN)) for s in order]
-    plan = docs.sparkSession.createDataFrame(plan, f"s {rows.schema['source'].dataType.simpleString()}, source_size long, target double, rate double, chains long")
+    return rows.sparkSession.createDataFrame(plan, f"s {rows.schema['source'].dataType.simpleString()}, source_size long, target double, rate double, chains long")
+
+
+def chained(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """``rows`` (id, source) with their source's plan and the number of their rounding chain."""
     joined = rows.join(plan, rows["source"].eqNullSafe(plan["s"]), "left").drop("s")
-    joined = joined.withColumn("chain", F.pmod(F.xxhash64("id"), F.col("chains"))).drop("chains")
+    return joined.withColumn("chain", F.pmod(F.xxhash64("id"), F.col("chains"))).drop("chains")
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, cap: int = CAP) -> DataFrame:
+    """One row per row of ``docs``: id, size, source_size, target, taken, copies, rate.
+
+    Sizes count runs of non-white-space (null text: 0). Sources by code point, null last,
+    get ``weights`` in turn. Documents without words get copies but take no words; an
+    empty table gives an empty result; repeated rows count as often as they occur; other
+    columns are ignored.
+    """
+    rows = cut(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words_of(text_col).alias("size")))
+    joined = chained(rows, planned(rows, weights, cap))
     return copies(joined, ["source", "chain"], cap).select(
         F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "rate"
     )
 
 
-def mixed_docs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+def mixed_docs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, cap: int = CAP) -> DataFrame:
     """``docs`` that the mix takes at least once, with ``mix_copies`` and ``mix_taken`` (with underscores before, if ``docs`` has them).
 
-    Rows are matched by id and size, so ids should not repeat; rows that do are all taken
-    as often as the most taken of them.
+    The rows themselves go through the rounding chains, so rows that repeat an id keep
+    copies of their own.
     """
-    size = F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long")
     names = [unused(docs.columns, n) for n in ("mix_copies", "mix_taken")]
-    plan = mix(docs, id_col, text_col, source_col, **options)
-    plan = plan.groupBy(F.col(id_col).alias("__id"), F.col("size").alias("__size")).agg(F.max("copies").alias(names[0]), F.max("taken").alias(names[1]))
-    same = docs[id_col].eqNullSafe(plan["__id"]) & (size == plan["__size"])
-    return docs.join(plan.where(F.col(names[0]) > 0), same).select(*[docs[c] for c in docs.columns], *[plan[n] for n in names])
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words_of(text_col).alias("size"), F.struct(*docs.columns).alias("doc"))
+    plan = planned(rows.select("source", "size"), weights, cap)
+    found = copies(chained(rows, plan), ["source", "chain"], cap).where("copies > 0")
+    return found.select(*[F.col("doc")[c].alias(c) for c in docs.columns], F.col("copies").alias(names[0]), (F.col("size") * F.col("copies")).alias(names[1]))

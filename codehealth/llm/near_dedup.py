@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codehealth.llm.common import Hashes, cut, likely_in, mixed, shingles, utf8, word_hashes
+from codehealth.llm.common import Hashes, cut, likely_in, maybe_in, mixed, shingles, utf8, without, word_hashes
 from codehealth.llm.components import connected
 
 WORDS, SIMILAR = 5, 0.8
@@ -296,5 +296,5 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` without the rows that ``near_classes`` doesn't keep; columns stay as they are."""
-    lost = near_classes(docs, id_col, text_col, **options).where("NOT kept").select(F.col(id_col).alias("__id")).distinct()
-    return docs.join(lost, docs[id_col].cast("long") == lost["__id"], "left_anti")
+    lost = cut(near_classes(docs, id_col, text_col, **options).where("NOT kept").select(F.col(id_col).alias("id")).distinct())
+    return without(docs, F.col(id_col).cast("long"), lost)
