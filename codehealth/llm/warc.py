@@ -18,15 +18,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codehealth.llm.common import cut
+from codehealth.llm.common import cut, join_groups, likely_in, maybe_in, saved
 
 CRLF = "\r\n"
 #: Payloads of fewer bytes are stored again, whatever their copies.
 REVISIT_BYTES = 1000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
-#: Captures of one archive file, at most.
-FILE_CAPTURES = 20_000
+#: Bytes of the payloads of one archive file, at most, unless one payload is larger; by size class, a power of SIZE_STEP.
+FILE_BYTES, SIZE_STEP, LEAST_CLASS = 1 << 28, 1 << 6, 1 << 14
 
 
 def one_line(value: Column) -> Column:
@@ -55,29 +55,45 @@ def record(kind: Column, id_: Column, headers: list[Column], content_type: str,
     )
 
 
-def with_revisits(pages: DataFrame, id_col: str, payload: Column, least: int = REVISIT_BYTES) -> DataFrame:
-    """``pages`` with ``refers_to``: the largest id among rows of equal payload, null for that row and for small payloads."""
-    rows = pages.withColumn("payload", payload)
-    rows = rows.withColumn("content_key", F.when(F.octet_length("payload") >= least, F.sha2(F.col("payload").cast("binary"), 256)))
-    first = rows.where("content_key IS NOT NULL").groupBy(F.col("content_key").alias("k")).agg(F.max(id_col).alias("largest"), F.count(F.lit(1)).alias("n"))
-    first = first.where("n > 1").drop("n")
-    found = rows.join(first, F.col("content_key") == F.col("k"), "left")
-    largest = F.when(~F.col(id_col).eqNullSafe(F.col("largest")), F.col("largest"))
-    return found.withColumn("refers_to", largest).drop("k", "largest", "content_key")
+def urn(id_: Column, n: Column) -> Column:
+    """A capture's name: its page's id, and a number since ids may repeat."""
+    return F.concat(F.lit("urn:x-capture:"), F.coalesce(one_line(id_), F.lit("")), F.lit(":"), n.cast("string"))
 
 
-def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = REVISIT_BYTES, file_captures: int = FILE_CAPTURES) -> None:
+def record_name(name: Column, kind: str) -> Column:
+    return F.concat(F.lit("<"), name, F.lit(f":{kind}>"))
+
+
+def with_revisits(rows: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
+    """``rows`` (id, n, payload) with ``refers_to``: the response record of the largest id among rows of equal payload, null for rows of that id and for small payloads.
+
+    Equal payloads are found by their digests; of the rows, only those that may be revisits move.
+    """
+    keyed = rows.where(F.octet_length("payload") >= least).select("id", "n", F.sha2(F.col("payload").cast("binary"), 256).alias("k"))
+    groups = cut(keyed.groupBy("k").agg(F.max(F.struct("id", "n")).alias("top"), F.count(F.lit(1)).alias("size")).where("size > 1"))
+    found = join_groups(likely_in(keyed, "k", groups.select("k")), groups, "k", "size").where(~F.col("id").eqNullSafe(F.col("top.id")))
+    again = cut(found.select(F.col("n").alias("again"), record_name(urn(F.col("top.id"), F.col("top.n")), "response").alias("refers_to")))
+    marked = maybe_in(rows, "n", again.select("again"))
+    first = marked.where("NOT __maybe").withColumn("refers_to", F.lit(None).cast("string"))
+    some = marked.where("__maybe").join(again, F.col("n") == F.col("again"), "left").drop("again")
+    return first.unionByName(some).drop("__maybe")
+
+
+def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = REVISIT_BYTES, file_bytes: int = FILE_BYTES) -> None:
     """Write each row of ``pages`` as request, response or revisit, and metadata records to gzipped archives in ``path``.
 
     Null html is an empty payload, a null url leaves the target out. Rows that repeat an
     id are captures of their own. Other columns are ignored; an empty table gives
-    archives without records.
+    archives without records. An archive holds payloads of one size class only, as many
+    as ``file_bytes`` has room for, so that reading one takes bounded memory.
     """
-    rows = with_revisits(pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")), "id", F.coalesce(F.col("html"), F.lit("")), least)
-    name = F.coalesce(one_line(F.col("id")), F.lit(""))
-    urn = F.concat(F.lit("urn:x-capture:"), name, F.lit(":"), F.monotonically_increasing_id().cast("string"))
-    rows = rows.select("id", "payload", "refers_to", urn.alias("urn"), one_line(F.col("url")).alias("url"))
-    ids = {kind: F.concat(F.lit("<"), F.col("urn"), F.lit(f":{kind}>")) for kind in ("request", "response", "metadata")}
+    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("payload"))
+    # Written once, so that the numbers in the records' names are the same wherever they are read.
+    rows = saved(rows.withColumn("n", F.monotonically_increasing_id()), "pages")
+    found = with_revisits(rows, least)
+    name = urn(F.col("id"), F.col("n"))
+    rows = found.select("id", "payload", "refers_to", name.alias("urn"), one_line(F.col("url")).alias("url"))
+    ids = {kind: record_name(F.col("urn"), kind) for kind in ("request", "response", "metadata")}
     target = header("WARC-Target-URI", F.col("url"))
     concurrent = header("WARC-Concurrent-To", ids["response"])
     path_part = F.coalesce(F.nullif(F.regexp_extract("url", r"^[a-z]+://[^/?#]*([^#]*)", 1), F.lit("")), F.lit("/"))
@@ -90,11 +106,10 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     )
     again = F.col("refers_to").isNotNull()
     digest = F.concat(F.lit("sha1:"), F.sha1(F.col("payload").cast("binary")))
-    refers = F.when(again, F.concat(F.lit("<urn:x-capture:"), one_line(F.col("refers_to")), F.lit(">")))
     response = record(
         F.when(again, "revisit").otherwise("response"),
         ids["response"],
-        [target, header("WARC-Payload-Digest", digest), header("WARC-Profile", F.when(again, PROFILE)), header("WARC-Refers-To", refers)],
+        [target, header("WARC-Payload-Digest", digest), header("WARC-Profile", F.when(again, PROFILE)), header("WARC-Refers-To", F.col("refers_to"))],
         "application/http;msgtype=response",
         F.when(again, http).otherwise(F.concat(http, F.col("payload"))),
     )
@@ -102,8 +117,14 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     fields = F.concat(header("captureId", one_line(F.col("id"))), header("hop", F.lit("seed")))
     metadata = record(F.lit("metadata"), ids["metadata"], [target, concurrent], "application/warc-fields", fields)
     text = F.concat(request, F.lit(CRLF), response, F.lit(CRLF), metadata)
-    writer = rows.select(text.alias("value")).write.option("lineSep", CRLF).option("compression", "gzip")
-    writer.option("maxRecordsPerFile", file_captures).mode("overwrite").text(path)
+    mode, lower = "overwrite", 0
+    largest = rows.agg(F.max(F.octet_length("payload"))).first()[0] or 0
+    while lower <= largest:
+        upper = max(LEAST_CLASS, lower * SIZE_STEP)
+        some = rows.where(F.octet_length("payload").between(lower, upper - 1)) if lower or largest >= upper else rows
+        writer = some.select(text.alias("value")).write.option("lineSep", CRLF).option("compression", "gzip")
+        writer.option("maxRecordsPerFile", max(1, file_bytes // upper)).mode(mode).text(path)
+        mode, lower = "append", upper
 
 
 def parsed(data: bytes) -> Iterator[tuple[dict[str, list[str]], bytes]]:
@@ -168,6 +189,7 @@ def records(spark: SparkSession, path: str, payloads: bool = True, glob: str = "
     """One row per record of the archives in ``path``; without ``payloads`` only their size, digest and place.
 
     An archive is one task's; each is read as it streams out of its compressed bytes.
+    Records that repeat an id are rows of their own.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,7 +215,10 @@ def transactions(found: DataFrame) -> DataFrame:
     Requests and metadata name their response by concurrent_to, or a response names them;
     metadata may also name a request of the response. Records that lead to no response
     make a capture of their own with a null response. Records without an id are left out,
-    since nothing can name them; concurrent_to ids that no record has are ignored.
+    since nothing can name them; concurrent_to ids that no record has are ignored. A
+    record that names several responses belongs to the one of least id. Responses that
+    repeat an id are captures of their own, each with all records that name the id;
+    requests and metadata that repeat an id all belong to the id's capture.
     """
     # Records are needed several times; the archives are parsed once.
     rows = cut(found.where("record_id IS NOT NULL"))

@@ -36,7 +36,7 @@ def summary(captures):
     for c in captures:
         r = c["response"]
         refers = r["refers_to"]
-        out[int(c["metadata"][0]["fields"]["captureId"])] = (r["payload_bytes"], r["payload_digest"], r["record_type"], int(refers[len("<urn:x-capture:") : -1]) if refers else None)
+        out[int(c["metadata"][0]["fields"]["captureId"])] = (r["payload_bytes"], r["payload_digest"], r["record_type"], int(refers.split(":")[2]) if refers else None)
     return out
 
 
@@ -57,13 +57,26 @@ def test_round_trip(spark, tmp_path):
 
 def test_files_are_plain_warc(spark, tmp_path):
     path = tmp_path / "w"
-    warc.write(pages(spark), str(path), file_captures=4)
+    warc.write(pages(spark), str(path), file_bytes=2 << 14)
     files = sorted(path.glob("*.gz"))
-    assert len(files) > 1
+    assert len(files) > 4 and all(sum(len(b) for _, b in warc.parsed(f.read_bytes())) < (3 << 14) + 4_000_000 * (f.stat().st_size > 2500) for f in files)
     kinds = [h["warc-type"][0] for f in files for h, _ in warc.parsed(f.read_bytes())]
     assert len(kinds) == 3 * len(PAGES) and kinds.count("request") == len(PAGES)
 
 
+def test_every_reference_names_a_response_of_equal_payload(spark, tmp_path):
+    rows = [*PAGES, *[(k, f"http://x{k % 3}.example/", BIG if k % 2 else "y" * 1500) for k in range(100, 160)], (159, "http://again.example", BIG), (None, None, BIG)]
+    warc.write(pages(spark, rows), str(tmp_path))
+    found = warc.records(spark, str(tmp_path)).collect()
+    named = {r["record_id"]: r for r in found}
+    assert len(named) == len(found) == 3 * len(rows)
+    revisits = [r for r in found if r["record_type"] == "revisit"]
+    assert len(revisits) > 50
+    for r in revisits:
+        other = named[r["refers_to"]]
+        assert other["record_type"] == "response" and other["payload_digest"] == r["payload_digest"] == hashlib.sha1(bytes(other["payload"])).hexdigest()
+
+
 def made(kind, id_, block=b"", *more):
     head = [b"WARC/1.0", b"WARC-Type: " + kind, b"WARC-Record-ID: " + id_, *more, b"Content-Length: %d" % len(block)]
     return b"\r\n".join(head) + b"\r\n\r\n" + block + b"\r\n\r\n"
