@@ -19,7 +19,7 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("response.payload_bytes").alias("payload_bytes"),
         F.col("response.payload_digest").alias("payload_digest"),
         F.col("response.record_type").alias("record_type"),
-        F.regexp_extract("response.refers_to", r"^<urn:x-capture:(-?\d+)>$", 1).try_cast("long").alias("refers_to"),
+        F.regexp_extract("response.refers_to", r"^<urn:x-capture:(-?\d+):\d+:response>$", 1).try_cast("long").alias("refers_to"),
     )
 
 
@@ -72,13 +72,18 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns, then what is left: its bytes' number, whether anything went, and the text (bytes of cut characters replaced)."""
     found = suffix_dedup.without_repeats(table(spark, sf_dir, "documents"), keep_first=False)
+    left = F.octet_length("kept").cast("long")
     return found.select(
         "doc_id",
         "n_bytes",
-        (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
+        (F.col("n_bytes") - left).alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
+        left.alias("n_kept"),
+        (F.col("n_bytes") > left).alias("repeats"),
+        F.make_valid_utf8(F.col("kept").cast("string")).alias("text"),
     )
 
 
