@@ -6,11 +6,19 @@ random component of the signature, and a component keeps the shingle that arrive
 Two signatures agree in a component with the probability Jaccard similarity. Arrivals
 later than every component's first one can't matter, which ends the work early.
 
-Documents that agree in a band of components are candidates. Candidate clusters are dealt
-to blocks of bounded size; inside a block, pairs of similar signature are verified by
-their exact similarity until all are known to be connected or not. Some documents of a
-large cluster, its anchors, are in all of its blocks and join the blocks' classes; what
-they don't join visits every block, so that no pair of different classes goes unseen.
+Documents that agree in a band of components are candidates. Among the documents of one
+band key, some are heads: every document agrees with a head in a share COVERED of its
+components, and is linked to all heads with which it agrees so far that, through it, a
+similar document could agree with it as well. So documents that the signatures let be
+similar get into one cluster, while unlike ones that only share a band don't. A key of
+many documents is dealt to parts that have the same heads, more of them each round, until
+the documents that no head covers fit one part. No texts are needed for this.
+
+Clusters are dealt to blocks of bounded size; inside a block, pairs of similar signature
+are verified by their exact similarity until all are known to be connected or not. Some
+documents of a large cluster, its anchors, are in all of its blocks and join the blocks'
+classes; what they don't join visits every block, so that no pair of different classes
+goes unseen.
 """
 
 from __future__ import annotations
@@ -23,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codehealth.llm.common import Hashes, cut, likely_in, maybe_in, mixed, shingles, utf8, without, word_hashes
+from codehealth.llm.common import Hashes, cut, join_groups, likely_in, mixed, shingles, utf8, without, word_hashes
 from codehealth.llm.components import connected
 
 WORDS, SIMILAR = 5, 0.8
@@ -32,6 +40,10 @@ BANDS, ROWS = 28, 5
 DEVIATIONS = 4.5
 #: Similarities this close to SIMILAR are compared in integers; far more than sums of floats are off.
 ROUNDING = 1e-6
+#: The share of components in which a document agrees with a head that covers it.
+COVERED = 0.85
+#: Documents of one part of a band key, about, and heads of a key of several parts in its first round.
+PART_DOCS, HEADS = 4096, 64
 #: Documents and bytes of a block, about, and documents that are in all blocks of a cluster, about.
 BLOCK_DOCS, BLOCK_BYTES, ANCHORS = 512, 1 << 23, 64
 
@@ -135,12 +147,17 @@ def alike(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], si
     return exact_similarity(a, b) >= Fraction(repr(float(similar)))
 
 
+def least_agreement(similar: float, size: int) -> float:
+    """The share of components in which similar documents agree, but for a chance that DEVIATIONS make small."""
+    return float(similar - DEVIATIONS * np.sqrt(similar * (1 - similar) / size))
+
+
 class Block:
     """Documents of one block: their signatures and weighted shingles, and who is connected with whom."""
 
     def __init__(self, words: int, similar: float, size: int):
         self.words, self.similar, self.size = words, similar, size
-        self.least = similar - DEVIATIONS * np.sqrt(similar * (1 - similar) / size)
+        self.least = least_agreement(similar, size)
         self.ids: list[int] = []
         self.known: list[int] = []
         self.visits: list[bool] = []
@@ -189,20 +206,97 @@ class Block:
 
 
 def signed(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
-    """(id, keys, size) of every document (id, data)."""
+    """(id, keys, marks, size) of every document (id, data); ``marks``: the lowest byte of each component."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = Hashes()
         for batch in batches:
-            keys = []
+            keys, marks = [], []
             for data in batch.column(1):
                 found = weighted(data.as_py(), words, cache)
-                keys.append(band_keys(signature(*found, bands * rows), bands, rows) if len(found[0]) else np.zeros(0, np.int64))
+                sig = signature(*found, bands * rows) if len(found[0]) else np.zeros(0, np.uint64)
+                keys.append(band_keys(sig, bands, rows) if len(sig) else np.zeros(0, np.int64))
+                marks.append(sig.astype(np.uint8).tobytes())
             sizes = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists, batch.column(2)], ["id", "keys", "size"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(marks, pa.binary()), batch.column(2)], ["id", "keys", "marks", "size"])
+
+    return docs.select("id", "data", F.octet_length("data").cast("long").alias("size")).mapInArrow(run, "id long, keys array<long>, marks binary, size long")
+
+
+def linked_heads(ids: np.ndarray, marks: np.ndarray, heads: np.ndarray, lone: bool, least: float) -> tuple[list[np.ndarray], np.ndarray]:
+    """([pairs of ids], which documents no head covers) of one part of a key; a lone part takes heads from those left until none is."""
+    open_ = ~heads
+    pairs, todo = [], np.flatnonzero(heads).tolist()
+    left = 0
+    while True:
+        if not todo:
+            while left < len(ids) and not open_[left]:
+                left += 1
+            if not lone or left == len(ids):
+                break
+            todo = [left]
+        head = todo.pop()
+        agree = (marks == marks[head]).mean(1)
+        near = np.flatnonzero(agree >= COVERED + least - 1)
+        near = near[ids[near] != ids[head]]
+        if len(near):
+            pairs.append(np.stack([ids[near], np.full(len(near), ids[head])]))
+        open_ &= agree < COVERED
+    return pairs, open_
+
+
+def candidate_links(sigs: DataFrame, similar: float, size: int, part_docs: int, heads: int) -> DataFrame:
+    """Links (u, v) that connect all documents (id, keys, marks) which agree in a band and, by their signatures, may be similar."""
+    least = least_agreement(similar, size)
+    spread = sigs.select("id", "marks", F.explode("keys").alias("key"))
+    often = cut(spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    left = join_groups(likely_in(spread, "key", often.select("key")), often, "key", "n").select("key", "id", "marks", "n")
+    out = None
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("key", pa.int64()), ("marks", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows = None, []
+
+        def results() -> Iterator[pa.RecordBatch]:
+            if len(rows) < 2:
+                return
+            ids = np.array([r[0] for r in rows], np.int64)
+            marks = np.frombuffer(b"".join(r[1] for r in rows), np.uint8).reshape(len(rows), -1)
+            lone = now[2] == 1
+            pairs, open_ = linked_heads(ids, marks, np.array([r[2] for r in rows]) & (not lone), lone, least)
+            if pairs:
+                u, v = np.concatenate(pairs, 1)
+                none = [None] * len(u)
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(none, pa.int64()), pa.array(none, pa.binary())], schema=schema)
+            over = [rows[k] for k in np.flatnonzero(open_)]
+            if over:
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in over], pa.int64()), pa.array([None] * len(over), pa.int64()), pa.array([now[0]] * len(over), pa.int64()), pa.array([r[1] for r in over], pa.binary())], schema=schema)
 
-    return docs.select("id", "data", F.octet_length("data").cast("long").alias("size")).mapInArrow(run, "id long, keys array<long>, size long")
+        for batch in batches:
+            for key, part, parts, id_, mark, head in zip(*[c.to_pylist() for c in batch.columns]):
+                if (key, part, parts) != now:
+                    yield from results()
+                    now, rows = (key, part, parts), []
+                rows.append((id_, mark, head))
+        yield from results()
+
+    for round_ in range(64):
+        parts = F.ceil(F.col("n") / part_docs).cast("int")
+        head = (F.col("parts") > 1) & (share("id", round_ + 2) < F.lit(float(heads << round_)) / F.col("n"))
+        home = F.array(F.pmod(F.xxhash64("id"), F.col("parts").cast("long")).cast("int"))
+        dealt = left.withColumn("parts", parts).withColumn("head", head)
+        dealt = dealt.select("key", F.explode(F.when(F.col("head"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(home)).alias("part"), "parts", "id", "marks", "head")
+        dealt = dealt.repartition("key", "part").sortWithinPartitions("key", "part", "id")
+        found = cut(dealt.mapInArrow(run, "u long, v long, key long, marks binary"))
+        links = found.where("v IS NOT NULL").select("u", "v")
+        out = links if out is None else out.unionAll(links)
+        left = found.where("v IS NULL").select("key", F.col("u").alias("id"), "marks")
+        if left.isEmpty():
+            return out
+        sizes = cut(left.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+        left = join_groups(left, sizes, "key", "n").select("key", "id", "marks", "n")
+    raise RuntimeError("band keys did not settle")
 
 
 def verified(members: DataFrame, docs: DataFrame, words: int, similar: float, size: int) -> DataFrame:
@@ -234,7 +328,7 @@ def share(column: str, salt: int):
     return F.shiftrightunsigned(F.xxhash64(F.col(column), F.lit(salt)), 11) * F.lit(2.0**-53)
 
 
-def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similar: float = SIMILAR, bands: int = BANDS, rows: int = ROWS, block_docs: int = BLOCK_DOCS, block_bytes: int = BLOCK_BYTES, anchors: int = ANCHORS) -> DataFrame:
+def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similar: float = SIMILAR, bands: int = BANDS, rows: int = ROWS, block_docs: int = BLOCK_DOCS, block_bytes: int = BLOCK_BYTES, anchors: int = ANCHORS, part_docs: int = PART_DOCS, heads: int = HEADS) -> DataFrame:
     """One row per row of ``docs``: id, class_id, class_size (rows), kept.
 
     Documents are linked if their texts are equal (null counts as empty) or their
@@ -249,12 +343,11 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     digests = keyed.select("id", F.sha2("data", 256).alias("digest"))
     firsts = digests.groupBy("digest").agg(F.max("id").alias("rep"))
     copy_of = cut(digests.join(firsts, "digest").select("id", "rep"))
-    reps = copy_of.select(F.col("rep").alias("id")).distinct()
-
-    sigs = cut(signed(keyed, words, bands, rows).join(reps, "id", "left_semi"))
-    spread = sigs.select("id", F.explode("keys").alias("key"))
-    pivots = spread.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("top")).where("pivot <> top").select("key", "pivot")
-    candidates = connected(spread.join(pivots, "key").select(F.col("pivot").alias("u"), F.col("id").alias("v")))
+    # Each text is signed once; only rows that may be copies move for that.
+    copies = cut(copy_of.groupBy("id").agg(F.bool_or(F.col("id") == F.col("rep")).alias("first")).where("NOT first").select("id"))
+    signing = without(keyed, F.col("id"), copies)
+    sigs = cut(signed(signing, words, bands, rows))
+    candidates = connected(candidate_links(sigs, similar, bands * rows, part_docs, heads))
 
     sized = candidates.join(sigs.groupBy("id").agg(F.max("size").alias("size")), F.col("vertex") == F.col("id")).select("id", F.col("root").alias("cluster"), "size")
     totals = sized.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))

@@ -6,11 +6,12 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tests.llm.helpers import docs, sentence, with_clashes
 
 from codehealth.llm import common
 from codehealth.llm.components import connected
-from codehealth.llm.near_dedup import alike, exact_similarity, near_classes, near_dedup, signature, similarity, weighted
+from codehealth.llm.near_dedup import alike, candidate_links, exact_similarity, near_classes, near_dedup, signature, signed, similarity, weighted
 
 
 def brute_similarity(a: dict, b: dict) -> float:
@@ -124,7 +125,7 @@ def corpus():
     return rows
 
 
-@pytest.mark.parametrize("options", [{}, {"block_docs": 3, "anchors": 1}])
+@pytest.mark.parametrize("options", [{}, {"block_docs": 3, "anchors": 1, "part_docs": 2, "heads": 1}])
 def test_classes_against_brute_force(spark, options):
     rows = corpus()
     table = with_clashes(docs(spark, [*rows, (None, "lost id")]), "id", "key", "data", "root", "size")
@@ -136,6 +137,21 @@ def test_classes_against_brute_force(spark, options):
     assert all(r["class_size"] == sizes[r["class_id"]] and r["kept"] == (r["doc_id"] == r["class_id"]) for r in got if r["doc_id"] is not None)
 
 
+def test_unlike_documents_of_one_paragraph_are_no_candidates(spark):
+    rng = random.Random(12)
+    passage = sentence(rng, 60)
+    rows = [(k, sentence(rng, 70) + " " + passage) for k in range(600)]
+    rows += [(1000 + k, text.replace("alpha1 ", "beta2 ", 1) + " end") for k, text in rows[:40]]
+    table = docs(spark, rows).select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("data"))
+    sigs = signed(table, 5, 28, 5)
+    keys = sigs.select("id", F.explode("keys").alias("key"))
+    assert keys.groupBy("key").count().agg(F.max("count")).first()[0] > 10
+    for options in ((4096, 64), (4, 1)):
+        links = candidate_links(sigs, 0.8, 140, *options).distinct().collect()
+        assert {(r["u"] % 1000, r["v"] % 1000) for r in links if r["u"] % 1000 == r["v"] % 1000} == {(k, k) for k in range(40)}
+        assert len(links) < 100
+
+
 def test_one_of_each_class_stays(spark):
     rows = corpus()
     table = with_clashes(docs(spark, rows), "__id")
