@@ -1,10 +1,17 @@
-"""Graph measures over node and edge tables: modularity, cycles, longest paths, reachability."""
+"""Graph measures over node and edge tables: modularity, cycles, longest paths, reachability.
+
+Loops run on Spark for as long as a graph has more than TASK_EDGES edges; what is left of
+it then is solved in one task, whose memory that number bounds.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,8 +20,10 @@ from codehealth.session import cut
 ROUNDS = 10_000
 #: Hops of one job; each refers to the one before once, so the plan grows with their number only.
 HOPS = 4
-#: Edges of one partition, about: a loop on few edges is one task without shuffles, on many an ordinary plan.
+#: Edges of one partition, about.
 PART_EDGES = 200_000
+#: Edges that one task takes.
+TASK_EDGES = 2_000_000
 
 
 class GraphError(ValueError):
@@ -39,6 +48,15 @@ def dangling(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return ends.join(nodes, "id", "left_anti")
 
 
+def edge_bag(*tables: DataFrame) -> DataFrame:
+    """All edges of the tables (two columns each, whatever their names) as src and dst; each counts as often as it occurs."""
+    out = None
+    for t in tables:
+        some = t.toDF("src", "dst")
+        out = some if out is None else out.unionAll(some)
+    return out
+
+
 def module_degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(module, k_out, k_in, intra) of the modules that edges touch; repeated edges count as often as they occur."""
     home = nodes.select("id", "module")
@@ -74,16 +92,21 @@ def entries(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.orderBy("ord").limit(1)
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, task_edges: int | None = None) -> DataFrame:
     """(id, scc) of the nodes of strongly connected components of two nodes or more; the largest id names one.
 
     Each round colours nodes with the largest id that reaches them; the nodes of a colour
     that reach its id are one component. They leave, as do edges between colours and
-    nodes without edges in both directions, and the rest goes on.
+    nodes without edges in both directions, and the rest goes on until one task takes it.
     """
+    limit = TASK_EDGES if task_edges is None else task_edges
+    kind = edges.schema["src"].dataType.simpleString()
     left = cut(edges.select("src", "dst").where("src <> dst").distinct())
     found = None
     for _ in range(ROUNDS):
+        if left.count() <= limit:
+            rest = in_one_task(left, strong_components, f"id {kind}, scc {kind}")
+            return cut(rest if found is None else found.unionAll(rest))
         left = trimmed(left)
         if left.isEmpty():
             break
@@ -96,10 +119,99 @@ def components(edges: DataFrame) -> DataFrame:
         found = multi if found is None else found.unionAll(multi)
         done = own.select("id")
         left = cut(same.select("src", "dst").join(done.withColumnRenamed("id", "src"), "src", "left_anti").join(done.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst"))
-    kind = edges.schema["src"].dataType.simpleString()
     return cut(found) if found is not None else edges.sparkSession.createDataFrame([], f"id {kind}, scc {kind}")
 
 
+def in_one_task(edges: DataFrame, solve: Callable, schema: str) -> DataFrame:
+    """What ``solve(ids, src, dst)`` says of ``edges`` (src, dst): the nodes in ascending order and the edges as places among them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [b for b in batches if b.num_rows]
+        if not parts:
+            return
+        table = pa.Table.from_batches(parts)
+        both = pa.chunked_array([*table["src"].chunks, *table["dst"].chunks]).dictionary_encode().combine_chunks()
+        order = pc.sort_indices(both.dictionary).to_numpy()
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        ends = place[both.indices.to_numpy()]
+        columns = solve(both.dictionary.take(pa.array(order)), ends[: len(table)], ends[len(table) :])
+        yield from pa.table(list(columns), names=names).to_batches(max_chunksize=100_000)
+
+    names = [c.split()[0] for c in schema.split(", ")]
+    return edges.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst").coalesce(1).mapInArrow(run, schema)
+
+
+def rows_of(n: int, src: np.ndarray, dst: np.ndarray) -> tuple[list[int], list[int]]:
+    """(begins, targets): node i leads to targets[begins[i]:begins[i + 1]]."""
+    order = np.argsort(src, kind="stable")
+    begins = np.searchsorted(src[order], np.arange(n + 1))
+    return begins.tolist(), dst[order].tolist()
+
+
+def strong_components(ids: pa.Array, src: np.ndarray, dst: np.ndarray) -> tuple:
+    """Each node of a component of two nodes or more, and the component's last node; one depth-first search without recursion."""
+    n = len(ids)
+    begins, targets = rows_of(n, src, dst)
+    number, low, at = [0] * n, [0] * n, begins[:-1]
+    done, stack, scc = [False] * n, [], np.full(n, -1)
+    counter = 0
+    for root in range(n):
+        if number[root]:
+            continue
+        counter += 1
+        number[root] = low[root] = counter
+        path = [root]
+        stack.append(root)
+        while path:
+            v = path[-1]
+            if at[v] < begins[v + 1]:
+                w = targets[at[v]]
+                at[v] += 1
+                if not number[w]:
+                    counter += 1
+                    number[w] = low[w] = counter
+                    path.append(w)
+                    stack.append(w)
+                elif not done[w] and number[w] < low[v]:
+                    low[v] = number[w]
+                continue
+            path.pop()
+            if path and low[v] < low[path[-1]]:
+                low[path[-1]] = low[v]
+            if low[v] == number[v]:
+                own = []
+                while not own or own[-1] != v:
+                    own.append(stack.pop())
+                    done[own[-1]] = True
+                if len(own) > 1:
+                    scc[own] = max(own)
+    inside = np.flatnonzero(scc >= 0)
+    return ids.take(pa.array(inside)), ids.take(pa.array(scc[inside]))
+
+
+def layer_heights(ids: pa.Array, src: np.ndarray, dst: np.ndarray) -> tuple:
+    """Each node of an acyclic graph and the edges of the longest path from it: sinks leave layer by layer."""
+    n = len(ids)
+    begins, sources = rows_of(n, dst, src)
+    open_ = np.bincount(src, minlength=n).tolist()
+    height = np.zeros(n, np.int64)
+    layer, k, seen = [v for v in range(n) if not open_[v]], 0, 0
+    while layer:
+        seen += len(layer)
+        height[layer] = k
+        above = []
+        for v in layer:
+            for u in sources[begins[v] : begins[v + 1]]:
+                open_[u] -= 1
+                if not open_[u]:
+                    above.append(u)
+        layer, k = above, k + 1
+    if seen < n:
+        raise RuntimeError("the graph has a cycle")
+    return ids, pa.array(height)
+
+
 def inner(edges: DataFrame) -> DataFrame:
     """``edges`` without those from nodes that none enters or to nodes that none leaves."""
     ends = edges.select(F.col("dst").alias("src")).distinct()
@@ -178,11 +290,31 @@ def reached(seeds: DataFrame, edges: DataFrame, keys: list[str] | None = None) -
     raise RuntimeError("reachability did not settle")
 
 
-def heights(edges: DataFrame) -> DataFrame:
-    """(id, height): the edges of the longest path from each node of an acyclic graph, from the sinks up."""
-    pairs = cut(edges.select("src", "dst").distinct())
-    back = pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return settled(vertices(pairs).withColumn("height", F.lit(0)), back, "height", lambda h: h + 1)
+def heights(edges: DataFrame, task_edges: int | None = None) -> DataFrame:
+    """(id, height): the edges of the longest path from each node of an acyclic graph.
+
+    The nodes that no edge leaves are a layer, without them the next ones, and so on; once
+    few edges are left, one task finds the heights above the layers that are gone.
+    """
+    limit = TASK_EDGES if task_edges is None else task_edges
+    kind = edges.schema["src"].dataType.simpleString()
+    left = cut(edges.select("src", "dst").distinct())
+    nodes, out = cut(vertices(left)), None
+    for k in range(ROUNDS):
+        if left.count() <= limit:
+            rest = in_one_task(left, layer_heights, f"id {kind}, above long").select("id", (F.col("above") + k).cast("int").alias("height"))
+            # Nodes without edges are the last layer that left, with what is above it.
+            lone = nodes.join(vertices(left), "id", "left_anti").select("id", F.lit(k).alias("height"))
+            return cut(rest.unionAll(lone) if out is None else out.unionAll(rest).unionAll(lone))
+        inner_ = left.select(F.col("src").alias("id")).distinct()
+        layer = cut(nodes.join(inner_, "id", "left_anti"))
+        if layer.isEmpty():
+            raise RuntimeError("the graph has a cycle")
+        own = layer.select("id", F.lit(k).alias("height"))
+        out = own if out is None else out.unionAll(own)
+        nodes = cut(nodes.join(layer, "id", "left_anti"))
+        left = cut(left.join(layer.select(F.col("id").alias("dst")), "dst", "left_anti").select("src", "dst"))
+    raise RuntimeError("heights did not settle")
 
 
 def longest_path(starts: DataFrame, edges: DataFrame, acyclic: bool) -> tuple[int, list]:
@@ -200,12 +332,8 @@ def longest_path(starts: DataFrame, edges: DataFrame, acyclic: bool) -> tuple[in
             return 0, []
         path, at = [best["id"]], best["height"]
         up = edges.join(height.withColumnRenamed("id", "dst"), "dst").groupBy("src", "height").agg(F.min_by("dst", "seq").alias("dst"))
-        # One lookup a step: the path is as long as the answer.
-        up = cut(up)
-        while at > 0:
-            at -= 1
-            path.append(up.where((F.col("src") == F.lit(path[-1])) & (F.col("height") == at)).first()["dst"])
-        return best["height"], path
+        up = up.join(height.select(F.col("id").alias("src"), (F.col("height") - 1).alias("height")), ["src", "height"])
+        return best["height"], followed(up.select("src", "dst"), path[0], at)
     rows = starts.select(F.lit(0).alias("kind"), F.col("id").cast("string").alias("a"), F.lit(None).cast("string").alias("b"), F.col("ord").cast("long").alias("k"))
     order = F.row_number().over(_by_seq())
     rows = rows.unionAll(edges.select("src", "dst", "seq").withColumn("k", order).select(F.lit(1), F.col("src").cast("string"), F.col("dst").cast("string"), F.col("k").cast("long")))
@@ -214,6 +342,22 @@ def longest_path(starts: DataFrame, edges: DataFrame, acyclic: bool) -> tuple[in
     return (found["depth"], [kind(x) for x in found["path"]]) if found else (0, [])
 
 
+def followed(step: DataFrame, start, n: int) -> list:
+    """``start`` and the ``n`` nodes that follow it, each node having one next one in ``step`` (src, dst); hops double from round to round."""
+    kind = step.schema["src"].dataType.simpleString()
+    jump = cut(step)
+    path = step.sparkSession.createDataFrame([(0, start)], f"place long, id {kind}")
+    size = 1
+    while size <= n:
+        far = path.join(jump, F.col("id") == F.col("src")).select((F.col("place") + size).alias("place"), F.col("dst").alias("id"))
+        path = cut(path.unionAll(far))
+        size *= 2
+        if size <= n:
+            on = jump.select(F.col("src").alias("mid"), F.col("dst").alias("end"))
+            jump = cut(jump.join(on, F.col("dst") == F.col("mid")).select("src", F.col("end").alias("dst")))
+    return [r["id"] for r in path.where(F.col("place") <= n).orderBy("place").collect()]
+
+
 def _by_seq():
     from pyspark.sql.window import Window
 

@@ -74,13 +74,26 @@ def inherit_edges(classes: DataFrame, imports: DataFrame) -> DataFrame:
 def enclosing(points: DataFrame, intervals: DataFrame, keys: list[str], smallest: bool) -> DataFrame:
     """``points`` (keys, point) with ``inside``: the place of the interval (keys, place, low, high) around each, null for none.
 
-    The smallest interval counts, or the one of least place; equal sizes go by place.
+    The smallest interval counts, or the one of least place; equal sizes go by place. All
+    ends are whole numbers. Each interval is taken apart into the largest aligned blocks
+    that it covers, at most two of each power of two; a block keeps its best interval
+    only, and a point looks up the one block of each size that it is in.
     """
-    hit = (F.col("point") >= F.col("low")) & (F.col("point") <= F.col("high"))
+    low, high = F.col("low").cast("long"), F.col("high").cast("long")
+    rank = F.struct((high - low).alias("size"), "place") if smallest else F.struct("place")
+    # At level k, blocks of 2**k: from the first that begins inside to the last that ends inside.
+    first, after = "(-shiftright(-__low, k))", "shiftright(__high + 1, k)"
+    ends = f"array_compact(array(IF({first} < {after} AND {first} % 2 <> 0, {first}, NULL), IF({first} < {after} AND {after} % 2 <> 0, {after} - 1, NULL)))"
+    rows = intervals.where(low <= high).select(*keys, low.alias("__low"), high.alias("__high"), rank.alias("__rank"))
+    levels = F.expr("sequence(0, CAST(ceil(log2(__high - __low + 2)) AS INT))")
+    blocks = rows.withColumn("k", F.explode(levels)).withColumn("__block", F.explode(F.expr(ends)))
+    best = blocks.groupBy(*keys, "k", "__block").agg(F.min("__rank").alias("__best"))
+    top = intervals.agg(F.max(F.ceil(F.log2(high - low + 2)))).first()[0]
     numbered = points.withColumn("__row", F.monotonically_increasing_id())
-    rank = F.struct(F.col("high") - F.col("low"), "place") if smallest else F.struct("place")
-    best = numbered.join(intervals, keys).where(hit).groupBy("__row").agg(F.min_by("place", rank).alias("inside"))
-    return numbered.join(best, "__row", "left").drop("__row")
+    asked = numbered.select("__row", *keys, F.col("point").cast("long").alias("__point"), F.explode(F.sequence(F.lit(0), F.lit(int(top or 0)))).alias("k"))
+    asked = asked.withColumn("__block", F.expr("shiftright(__point, k)"))
+    found = asked.join(best, [*keys, "k", "__block"]).groupBy("__row").agg(F.min("__best")["place"].alias("inside"))
+    return numbered.join(found, "__row", "left").drop("__row")
 
 
 def overlapping(intervals: DataFrame, keys: list[str]) -> DataFrame:

@@ -88,10 +88,8 @@ def complexity_ceilings(functions: DataFrame, limits: dict[str, int]) -> DataFra
 
 def layers_of(paths: DataFrame, layers: tuple[Layer, ...]) -> DataFrame:
     """(path, layer, layer_order, n): by path the layer whose globs match, and how many do."""
-    spark = paths.sparkSession
-    rows = [(k, layer.name, layer.order, glob_regex(p)) for k, layer in enumerate(layers) for p in layer.paths]
-    globs = spark.createDataFrame(rows, "k int, layer string, layer_order long, glob string")
-    hit = paths.select("path").distinct().join(F.broadcast(globs), F.expr("path RLIKE glob"))
+    hits = [F.when(F.col("path").rlike(glob_regex(p)), F.struct(F.lit(k).alias("k"), F.lit(layer.name).alias("layer"), F.lit(layer.order).cast("long").alias("layer_order"))) for k, layer in enumerate(layers) for p in layer.paths]
+    hit = paths.select("path").distinct().select("path", F.explode(F.array_compact(F.array(*hits))).alias("l")).select("path", "l.*")
     return hit.groupBy("path").agg(F.min_by("layer", "k").alias("layer"), F.min_by("layer_order", "k").alias("layer_order"), F.count_distinct("k").alias("n"))
 
 
@@ -114,9 +112,10 @@ def layer_violations(edges: DataFrame, paths: DataFrame, layers: tuple[Layer, ..
 
 def boundary_violations(edges: DataFrame, boundaries: tuple[Boundary, ...]) -> DataFrame:
     """A violation for each of ``edges`` (from, to) and boundary whose globs match both ends."""
-    rows = [(glob_regex(b.source), glob_regex(b.target), f" — {b.reason}" if b.reason else "") for b in boundaries]
-    denied = edges.sparkSession.createDataFrame(rows, "from_glob string, to_glob string, why string")
-    hit = edges.join(F.broadcast(denied), F.expr("`from` RLIKE from_glob AND `to` RLIKE to_glob"))
+    if not boundaries:
+        return edges.sparkSession.createDataFrame([], VIOLATION)
+    hits = [F.when(F.col("from").rlike(glob_regex(b.source)) & F.col("to").rlike(glob_regex(b.target)), F.lit(f" — {b.reason}" if b.reason else "")) for b in boundaries]
+    hit = edges.select("from", "to", F.explode(F.array_compact(F.array(*hits))).alias("why"))
     return hit.select(*violation("boundary", F.format_string("%s must not import %s%s", "from", "to", "why"), F.array("from", "to")))
 
 

@@ -75,7 +75,7 @@ def staged(tree: DataFrame, aliases: dict[str, str] | None = None, strict: bool
             yield pa.RecordBatch.from_pylist(rows, arrow)
 
     total = line_counts(F.decode("content", "ISO-8859-1"))["total"]
-    rows = tree.where("content IS NOT NULL").select("path", "ord", F.col("import_lang").alias("lang"), total.alias("lines"), "content")
+    rows = tree.where("content IS NOT NULL AND import_lang IS NOT NULL").select("path", "ord", F.col("import_lang").alias("lang"), total.alias("lines"), "content")
     return rows.mapInArrow(run, STAGE)
 
 
@@ -111,3 +111,9 @@ def local_calls(stage: DataFrame) -> DataFrame:
 
 def bodies(stage: DataFrame) -> DataFrame:
     return flat(stage, "bodies").select("file", "file_ord", "fn_ord", function_id("fn_ord").alias("fn"), "body")
+
+
+def totals(files: DataFrame) -> DataFrame:
+    """One row of file_count, line_count and max_file_lines of ``files`` (lines)."""
+    lines = F.col("lines")
+    return files.agg(F.count(F.lit(1)).alias("file_count"), F.coalesce(F.sum(lines), F.lit(0)).alias("line_count"), F.coalesce(F.max(lines), F.lit(0)).alias("max_file_lines"))

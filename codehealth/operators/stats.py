@@ -28,6 +28,12 @@ def gini(rows: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
     return sums.where("n IS NOT NULL").select(*by, clear.alias("gini"))
 
 
+def inequality(functions: DataFrame, files: DataFrame) -> float:
+    """The Gini coefficient of the functions' ``cyclomatic``; without functions that of the files' ``lines``, without files 0."""
+    found = gini(functions.select("cyclomatic"), "cyclomatic").first() or gini(files, "lines").first()
+    return found["gini"] if found else 0.0
+
+
 def score_columns(q: Column, cycles: Column, depth: Column, gini_: Column, ratio: Column) -> dict[str, Column]:
     """Each raw measure as a score from 0 to 1."""
     return {

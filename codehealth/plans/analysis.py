@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from codehealth.functions import paths as P
 from codehealth.operators import deadcode, graph, links, resolve, stage, stats
 from codehealth.session import cut
+from codehealth.sources.manifests import aliases as manifest_aliases
 from codehealth.sources.tree import read_tree
 
 
@@ -41,13 +42,15 @@ def flagged_functions(found: DataFrame, functions: DataFrame, call_edges: DataFr
     return lively.join(twice, "fn", "left").withColumn("duplicate", F.coalesce("duplicate", F.lit(False)))
 
 
-def analyze(spark: SparkSession, root: str, aliases: dict[str, str] | None = None, limit: int = links.CALLS_PER_CALLER, strict: bool = True, **options) -> Analysis:
+def analyze(spark: SparkSession, root: str, aliases: dict[str, str] | None = None, manifests: bool = False, limit: int = links.CALLS_PER_CALLER, strict: bool = True, **options) -> Analysis:
     """Reads the tree below ``root`` and measures it.
 
     ``aliases``: root files by package name, for imports of packages of the tree.
-    ``limit``: call sites that count for each caller. ``strict``: see ``extract.functions``.
+    ``manifests``: whether the tree's own manifests add to these. ``limit``: call sites that count for each caller. ``strict``: see ``extract.functions``.
     """
-    tree = cut(read_tree(spark, root, **options))
+    tree = cut(read_tree(spark, root, manifests=manifests, **options))
+    if manifests:
+        aliases = manifest_aliases(tree) | (aliases or {})
     found = cut(stage.staged(tree, aliases, strict))
     skips = tree.where("skipped IS NOT NULL").orderBy(F.col("skipped") != "file_too_large", "ord")
     files = found.select("path", "ord", "lines")
@@ -59,21 +62,19 @@ def analyze(spark: SparkSession, root: str, aliases: dict[str, str] | None = Non
 
     nodes = files.select(F.col("path").alias("id"), "ord", P.module_col(F.col("path")).alias("module"), P.is_entry_col(F.col("path")).alias("named"))
     import_graph = imports.select(F.col("from_file").alias("src"), F.col("to_file").alias("dst"), "seq")
-    edges = import_graph.select("src", "dst")
-    edges = edges.unionAll(calls.select("from_file", "to_file")).unionAll(inherits.select("child_file", "parent_file"))
-    edges = cut(edges)
+    edges = cut(graph.edge_bag(import_graph.select("src", "dst"), calls.select("from_file", "to_file"), inherits.select("child_file", "parent_file")))
     graph.checked(nodes, edges)
     sizes = graph.modularity(nodes, edges).first()
     cycles = graph.components(edges).select("scc").distinct().count()
     acyclic = cycles == 0 or graph.components(import_graph).isEmpty()
     depth, path = graph.longest_path(graph.entries(nodes, import_graph), import_graph, acyclic)
 
-    measured = stats.gini(functions.select("cyclomatic"), "cyclomatic").first() or stats.gini(files, "lines").first()
+    gini = stats.inequality(functions, files)
     flagged = cut(flagged_functions(found, functions, calls))
     counts = deadcode.redundancy(flagged).first()
-    totals = files.agg(F.count(F.lit(1)).alias("file_count"), F.coalesce(F.sum("lines"), F.lit(0)).alias("line_count"), F.coalesce(F.max("lines"), F.lit(0)).alias("max_file_lines")).first()
+    totals = stage.totals(files).first()
     longest = functions.agg(F.coalesce(F.max("line_count"), F.lit(0))).first()[0]
-    raw = {"q": sizes["q"], "cycles": cycles, "max_depth": depth, "gini": measured["gini"] if measured else 0.0, "ratio": counts["ratio"]}
+    raw = {"q": sizes["q"], "cycles": cycles, "max_depth": depth, "gini": gini, "ratio": counts["ratio"]}
     health = stats.scored(spark.createDataFrame([raw], "q double, cycles long, max_depth long, gini double, ratio double")).first().asDict()
     health |= counts.asDict() | totals.asDict() | {"max_fn_lines": longest, "cycle_count": cycles, "edge_count": sizes["m"]}
     top = stats.hotspots(functions, ["file_ord", "fn_ord"]).select("file", "name", F.col("line_count").alias("lines"), "cyclomatic", "cognitive", "score")

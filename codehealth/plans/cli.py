@@ -22,9 +22,9 @@ CONFIG_DIR = ".codehealth"
 USAGE = """codehealth - structural health of a source tree
 
 Usage:
-  codehealth scan [path] [--json]
-  codehealth check [path] [--json]
-  codehealth gate [path] [--save] [--json]
+  codehealth scan [path] [--json] [--aliases]
+  codehealth check [path] [--json] [--aliases]
+  codehealth gate [path] [--save] [--json] [--aliases]
   codehealth --help
   codehealth --version
 """
@@ -51,6 +51,8 @@ class Options:
     path: str = "."
     save: bool = False
     json: bool = False
+    #: Whether package names of the tree's manifests count in imports.
+    aliases: bool = False
 
 
 def parse_options(command: str, args: list[str]) -> Options:
@@ -61,7 +63,7 @@ def parse_options(command: str, args: list[str]) -> Options:
         if not plain and arg == "--":
             plain = True
         elif not plain and arg.startswith("-"):
-            if arg not in ("--save", "--json"):
+            if arg not in ("--save", "--json", "--aliases"):
                 raise CommandError("UnknownFlag")
             if arg == "--save" and command != "gate":
                 raise CommandError("InvalidFlag")
@@ -75,7 +77,7 @@ def parse_options(command: str, args: list[str]) -> Options:
         else:
             paths.append(arg)
     out.path = paths[0] if paths else "."
-    out.save, out.json = "--save" in flags, "--json" in flags
+    out.save, out.json, out.aliases = "--save" in flags, "--json" in flags, "--aliases" in flags
     return out
 
 
@@ -150,17 +152,17 @@ def gate_metrics(b: Baseline) -> dict:
     }
 
 
-def check_tree(spark: SparkSession, root: str) -> tuple[Analysis, Rules, list]:
+def check_tree(spark: SparkSession, root: str, aliases: bool = False) -> tuple[Analysis, Rules, list]:
     """The rules are read before the tree, so that a bad file fails at once."""
     rules = parse_rules(config(root, "rules.toml", "NoRulesFile"))
-    a = analyze(spark, root)
+    a = analyze(spark, root, manifests=aliases)
     edges = a.import_edges.selectExpr("from_file AS `from`", "to_file AS `to`")
     return a, rules, R.check(rules, a.health_row(), a.functions, edges, a.paths).collect()
 
 
-def gate_tree(spark: SparkSession, root: str) -> tuple[Analysis, Baseline, Baseline, list[str]]:
+def gate_tree(spark: SparkSession, root: str, aliases: bool = False) -> tuple[Analysis, Baseline, Baseline, list[str]]:
     before = loads(config(root, "baseline.json", "NoBaseline"))
-    a = analyze(spark, root)
+    a = analyze(spark, root, manifests=aliases)
     now = baseline_of(a).validate()
     rows = R.regressions(*(spark.createDataFrame([b.__dict__]) for b in (before, now)))
     return a, before, now, [r["message"] for r in rows.collect()]
@@ -169,10 +171,10 @@ def gate_tree(spark: SparkSession, root: str) -> tuple[Analysis, Baseline, Basel
 def run(spark: SparkSession, o: Options) -> tuple[dict, str, int]:
     """(JSON output, text output, exit code) of a command."""
     if o.command == "scan":
-        a = analyze(spark, o.path)
+        a = analyze(spark, o.path, manifests=o.aliases)
         return scan_json(o.path, a), scan_text(a), 0
     if o.command == "check":
-        a, rules, found = check_tree(spark, o.path)
+        a, rules, found = check_tree(spark, o.path, o.aliases)
         n = R.rules_checked(rules)
         shown = [{"rule": v["rule"], "severity": v["severity"], "message": v["message"], "from": (v["files"] or [None])[0], "to": v["files"][1] if len(v["files"]) > 1 else None, "subject": v["subject"], "line": v["line"]} for v in found]
         quality = int(a.health["quality_signal"] * 10000)
@@ -184,12 +186,12 @@ def run(spark: SparkSession, o: Options) -> tuple[dict, str, int]:
         return out, "\n".join(lines), int(bool(found))
     place = os.path.join(o.path, CONFIG_DIR, "baseline.json")
     if o.save:
-        a = analyze(spark, o.path)
+        a = analyze(spark, o.path, manifests=o.aliases)
         save(baseline_of(a), place)
         quality = int(a.health["quality_signal"] * 10000)
         out = envelope(True, o.path) | {"saved": True, "quality_signal": quality, "metrics": gate_metrics(baseline_of(a))}
         return out, f"Baseline saved\nQuality: {quality}/10000\nBaseline written to {place}", 0
-    a, before, now, found = gate_tree(spark, o.path)
+    a, before, now, found = gate_tree(spark, o.path, o.aliases)
     out = envelope(not found, o.path) | {"pass": not found, "quality_signal": int(now.quality_signal * 10000), "baseline": gate_metrics(before), "current": gate_metrics(now), "violations": found}
     lines = ["Structural regression check", f"Quality:  {int(before.quality_signal * 10000)} -> {int(now.quality_signal * 10000)} (per 10000)", f"Cycles:  {before.cycle_count} -> {now.cycle_count}", f"Depth:   {before.max_depth} -> {now.max_depth}"]
     lines += [f"x {m}" for m in found] + ["", f"DEGRADED: {len(found)} regression(s)"] if found else ["No degradation detected"]

@@ -13,9 +13,11 @@ from pyspark.sql.window import Window
 from codehealth.functions import paths as P
 from codehealth.functions.globs import glob_regex
 from codehealth.operators import deadcode, graph, links, resolve, rules, stats
+from codehealth.operators.ordering import placed
 from codehealth.operators.stage import line_counts
 from codehealth.sources import languages
-from codehealth.sources.rulefile import Boundary, Layer, Rules
+from codehealth.sources.rulefile import Boundary, Layer, Rules, parse_rules
+from codehealth.sources.tree import skip_reason
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -47,12 +49,12 @@ VALUES_PATHS = ", ".join(f"('{p}')" for p in PATHS)
 PAGE_PATH = "regexp_extract(url, '^[a-z]+://[^/]+/([^?#]*)', 1)"
 PATHS_SQL = f"paths AS (SELECT path FROM (VALUES {VALUES_PATHS}) v(path) UNION SELECT DISTINCT {PAGE_PATH} FROM pages)"
 HOPS_SQL = """hops AS (SELECT l_suppkey AS src, dst FROM (SELECT *, lead(l_suppkey) OVER (PARTITION BY l_orderkey
-    ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS dst FROM lineitem)
-    WHERE l_quantity = 50 AND l_discount >= 0.09 AND dst IS NOT NULL AND l_suppkey <> dst)"""
-REACH_SQL = "reach(a, b) AS (SELECT DISTINCT src, dst FROM hops UNION SELECT r.a, h.dst FROM reach r JOIN hops h ON r.b = h.src)"
+    ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS dst FROM lineitem) WHERE dst IS NOT NULL AND l_suppkey <> dst),
+    links AS (SELECT DISTINCT src, dst FROM hops)"""
+REACH_SQL = "reach(a, b) AS (SELECT src, dst FROM links UNION SELECT r.a, l.dst FROM reach r JOIN links l ON r.b = l.src)"
 SCC_SQL = f"""WITH RECURSIVE {HOPS_SQL}, {REACH_SQL},
     scc AS (SELECT x.a AS id, max(x.b) AS scc FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a GROUP BY x.a HAVING count(*) > 1)"""
-UP_SQL = f"{HOPS_SQL}, up AS (SELECT DISTINCT src, dst FROM hops WHERE src < dst)"
+UP_SQL = f"{HOPS_SQL}, up AS (SELECT src, dst FROM links WHERE src < dst)"
 HEIGHT_SQL = f"""WITH RECURSIVE {UP_SQL}, climb(id, h) AS (SELECT src, 0 FROM up UNION SELECT dst, 0 FROM up UNION SELECT u.src, c.h + 1 FROM climb c JOIN up u ON u.dst = c.id),
     height AS (SELECT id, max(h) AS height FROM climb GROUP BY id)"""
 
@@ -65,8 +67,7 @@ def all_paths(spark: SparkSession, d: str) -> DataFrame:
 def hops(spark: SparkSession, d: str) -> DataFrame:
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
     rows = t(spark, d, "lineitem").withColumn("dst", F.lead("l_suppkey").over(order))
-    rows = rows.where("l_quantity = 50 AND l_discount >= 0.09 AND dst IS NOT NULL AND l_suppkey <> dst")
-    return rows.select(F.col("l_suppkey").alias("src"), "dst")
+    return rows.where("dst IS NOT NULL AND l_suppkey <> dst").select(F.col("l_suppkey").alias("src"), "dst")
 
 
 def suppliers(spark: SparkSession, d: str) -> DataFrame:
@@ -94,7 +95,7 @@ def line_count(spark: SparkSession, d: str) -> DataFrame:
     "SELECT CASE WHEN n_chars > 8000 THEN 'file_too_large' WHEN n_chars > 2000 THEN 'parse_too_large' ELSE 'read' END AS reason, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY 1"
 )
 def size_skip(spark: SparkSession, d: str) -> DataFrame:
-    reason = F.when(F.col("n_chars") > 8000, "file_too_large").when(F.col("n_chars") > 2000, "parse_too_large").otherwise("read")
+    reason = F.coalesce(skip_reason(F.col("n_chars"), F.lit(True), 8000, 2000), F.lit("read"))
     return t(spark, d, "documents").groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
 
 
@@ -145,7 +146,7 @@ def path_kinds(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {PATHS_SQL} SELECT path, row_number() OVER (ORDER BY string_split(path, '/')) AS place FROM paths")
 def walk_order(spark: SparkSession, d: str) -> DataFrame:
-    return all_paths(spark, d).select("path", F.row_number().over(Window.orderBy(P.walk_order(F.col("path")))).cast("long").alias("place"))
+    return placed(all_paths(spark, d), [P.walk_order(F.col("path"))])
 
 
 # Edges.
@@ -160,7 +161,7 @@ def edge_dedup(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {HOPS_SQL}, u AS (SELECT * FROM hops UNION ALL SELECT DISTINCT dst, src FROM hops) SELECT src, dst, count(*) AS n FROM u GROUP BY ALL")
 def edge_union(spark: SparkSession, d: str) -> DataFrame:
     e = hops(spark, d)
-    return e.unionAll(e.select("dst", "src").distinct()).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
+    return graph.edge_bag(e, e.select("dst", "src").distinct()).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"WITH {HOPS_SQL} SELECT DISTINCT id FROM (SELECT src AS id FROM hops UNION SELECT dst FROM hops) WHERE id NOT IN (SELECT s_suppkey FROM supplier WHERE s_nationkey < 20)")
@@ -184,7 +185,10 @@ def modularity_q(spark: SparkSession, d: str) -> DataFrame:
     return graph.modularity(suppliers(spark, d), hops(spark, d)).select("m", F.round("q", 6).alias("q"))
 
 
-@query(f"WITH {HOPS_SQL} SELECT s_suppkey AS id FROM supplier WHERE NOT EXISTS (SELECT 1 FROM hops WHERE dst = s_suppkey)")
+@query(
+    f"""WITH {HOPS_SQL}, free AS (SELECT s_suppkey AS id FROM supplier WHERE NOT EXISTS (SELECT 1 FROM links WHERE dst = s_suppkey))
+    SELECT id FROM free UNION ALL SELECT min(s_suppkey) FROM supplier WHERE NOT EXISTS (SELECT 1 FROM free)"""
+)
 def entry_nodes(spark: SparkSession, d: str) -> DataFrame:
     nodes = suppliers(spark, d).withColumn("named", F.lit(False))
     return graph.entries(nodes, hops(spark, d)).select("id")
@@ -224,7 +228,7 @@ def max_depth(spark: SparkSession, d: str) -> DataFrame:
     return graph.heights(upward(spark, d)).agg(F.max("height").alias("max_depth"))
 
 
-_REACHED = f"WITH RECURSIVE {HOPS_SQL}, r(id) AS (SELECT s_suppkey FROM supplier WHERE s_acctbal > 9000 UNION SELECT dst FROM r JOIN hops ON src = id)"
+_REACHED = f"WITH RECURSIVE {HOPS_SQL}, r(id) AS (SELECT s_suppkey FROM supplier WHERE s_acctbal > 9000 UNION SELECT dst FROM r JOIN links ON src = id)"
 
 
 @query(f"{_REACHED} SELECT id FROM r")
@@ -365,29 +369,39 @@ def suffix_index(spark: SparkSession, d: str) -> DataFrame:
     return resolve.suffix_index(all_paths(spark, d)).select("key", "target")
 
 
-_NAMED = """fns AS (SELECT p_brand AS file, p_name AS name, p_size > 40 AS public, p_partkey AS place FROM part WHERE p_size % 7 = 0),
+# Files are brands, numbered from 1; each imports the two of twice its number and one more, as far as there are such.
+_NAMED = """fns AS (SELECT p_brand AS file, p_name || ' ' || p_size AS name, p_size > 40 AS public, p_partkey AS place FROM part),
     brands AS (SELECT DISTINCT p_brand, substr(p_brand, 7)::INT AS n FROM part),
-    imp AS (SELECT a.p_brand AS from_file, b.p_brand AS to_file FROM brands a JOIN brands b ON b.n IN (a.n % 25 + 1, (a.n + 6) % 25 + 1) WHERE a.n % 3 <> 0),
-    sites AS (SELECT o_orderkey AS site, 'Brand#' || (o_custkey % 25 + 1) AS from_file, o_orderpriority AS from_func, p_name AS callee, o_orderstatus = 'F' AS qualified
-      FROM orders JOIN part ON p_partkey = o_orderkey % 150)"""
+    imp AS (SELECT a.p_brand AS from_file, b.p_brand AS to_file FROM brands a JOIN brands b ON b.n IN (a.n * 2, a.n * 2 + 1)),
+    firsts AS (SELECT l_orderkey, arg_min(l_partkey, l_linenumber::BIGINT * 1000000000 + l_partkey) AS p_partkey FROM lineitem GROUP BY 1),
+    sites AS (SELECT o_orderkey AS site, 'Brand#' || (o_custkey % 25 + 1) AS from_file, o_orderpriority AS from_func, p_name || ' ' || p_size AS callee, o_orderstatus = 'F' AS qualified
+      FROM orders JOIN firsts ON l_orderkey = o_orderkey JOIN part USING (p_partkey))"""
 _RESOLVED = f"""{_NAMED}, foreign_ AS (SELECT * FROM sites s WHERE NOT EXISTS (SELECT 1 FROM fns WHERE file = s.from_file AND name = s.callee)),
     near AS (SELECT site, coalesce(arg_min(file, place) FILTER (WHERE public), arg_max(file, place)) AS to_file FROM foreign_ s JOIN imp USING (from_file) JOIN fns ON file = to_file AND name = callee GROUP BY site),
     sole AS (SELECT name, min(file) AS file FROM fns WHERE public GROUP BY name HAVING count(*) = 1),
     res AS (SELECT s.*, coalesce(near.to_file, CASE WHEN NOT qualified THEN sole.file END) AS to_file FROM foreign_ s LEFT JOIN near USING (site) LEFT JOIN sole ON name = callee)"""
 
 
+def part_name():
+    return F.concat("p_name", F.lit(" "), "p_size")
+
+
+def brand_imports(spark: SparkSession, d: str) -> DataFrame:
+    brands = t(spark, d, "part").select("p_brand", F.substring("p_brand", 7, 9).cast("int").alias("n")).distinct()
+    wanted = brands.select(F.col("p_brand").alias("from_file"), F.explode(F.array(F.col("n") * 2, F.col("n") * 2 + 1)).alias("n"))
+    return wanted.join(brands.withColumnRenamed("p_brand", "to_file"), "n").select("from_file", "to_file")
+
+
 def named_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     part = t(spark, d, "part")
-    fns = part.where("p_size % 7 = 0").select(F.col("p_brand").alias("file"), F.col("p_name").alias("name"), (F.col("p_size") > 40).alias("public"), F.col("p_partkey").alias("place"))
-    brands = part.select("p_brand", F.substring("p_brand", 7, 9).cast("int").alias("n")).distinct()
-    wanted = brands.where("n % 3 <> 0").select(F.col("p_brand").alias("from_file"), F.explode(F.array(F.col("n") % 25 + 1, (F.col("n") + 6) % 25 + 1)).alias("n"))
-    imports = wanted.join(brands.withColumnRenamed("p_brand", "to_file"), "n").select("from_file", "to_file")
-    orders = t(spark, d, "orders").withColumn("p_partkey", F.col("o_orderkey") % 150)
-    sites = orders.join(part.select("p_partkey", "p_name"), "p_partkey").select(
+    fns = part.select(F.col("p_brand").alias("file"), part_name().alias("name"), (F.col("p_size") > 40).alias("public"), F.col("p_partkey").alias("place"))
+    firsts = t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.min(F.struct("l_linenumber", "l_partkey"))["l_partkey"].alias("p_partkey"))
+    orders = t(spark, d, "orders").join(firsts, F.col("o_orderkey") == F.col("l_orderkey"))
+    sites = orders.join(part.select("p_partkey", part_name().alias("callee")), "p_partkey").select(
         F.col("o_orderkey").alias("site"), F.concat(F.lit("Brand#"), (F.col("o_custkey") % 25 + 1).cast("string")).alias("from_file"), F.col("o_orderpriority").alias("from_func"),
-        F.col("p_name").alias("callee"), (F.col("o_orderstatus") == "F").alias("qualified"), F.col("o_orderkey").alias("seq"),
+        "callee", (F.col("o_orderstatus") == "F").alias("qualified"), F.col("o_orderkey").alias("seq"),
     )
-    return fns, imports, sites
+    return fns, brand_imports(spark, d), sites
 
 
 @query(f"WITH {_RESOLVED} SELECT site, callee, to_file FROM res WHERE to_file IS NOT NULL")
@@ -405,8 +419,9 @@ def call_edges(spark: SparkSession, d: str) -> DataFrame:
     return links.call_edges(sites.drop("site"), fns, imports)
 
 
-_CLASSES = """cls AS (SELECT a.p_brand AS file, substr(a.p_brand, 7)::INT AS file_ord, a.p_name AS name, b.p_name AS base, a.p_partkey AS seq FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1 WHERE a.p_size % 9 = 0),
-    imp AS (SELECT DISTINCT 'Brand#' || (p_partkey % 25 + 1) AS child_file, 'Brand#' || (p_partkey % 4 + 1) AS parent_file FROM part WHERE p_partkey % 25 > 12),
+_CLASSES = """cls AS (SELECT a.p_brand AS file, substr(a.p_brand, 7)::INT AS file_ord, a.p_name || ' ' || a.p_size AS name, b.p_name || ' ' || b.p_size AS base, a.p_partkey AS seq FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1),
+    brands AS (SELECT DISTINCT file, file_ord FROM cls),
+    imp AS (SELECT a.file AS child_file, b.file AS parent_file FROM brands a JOIN brands b ON b.file_ord IN (a.file_ord * 2, a.file_ord * 2 + 1)),
     def AS (SELECT name AS base, file AS parent_file, min(file_ord) AS file_ord FROM cls GROUP BY ALL)"""
 
 
@@ -419,27 +434,25 @@ _CLASSES = """cls AS (SELECT a.p_brand AS file, substr(a.p_brand, 7)::INT AS fil
 )
 def inherit_resolve(spark: SparkSession, d: str) -> DataFrame:
     part = t(spark, d, "part")
-    after = part.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("base"))
-    classes = part.where("p_size % 9 = 0").join(after, "p_partkey").select(F.col("p_brand").alias("file"), F.substring("p_brand", 7, 9).cast("int").alias("file_ord"), F.col("p_name").alias("name"), F.array("base").alias("bases"), F.col("p_partkey").alias("seq"))
-    some = part.where("p_partkey % 25 > 12")
-    imports = some.select(F.concat(F.lit("Brand#"), (F.col("p_partkey") % 25 + 1).cast("string")).alias("from_file"), F.concat(F.lit("Brand#"), (F.col("p_partkey") % 4 + 1).cast("string")).alias("to_file")).distinct()
-    return links.inherit_edges(classes, imports).drop("seq")
+    after = part.select((F.col("p_partkey") - 1).alias("p_partkey"), part_name().alias("base"))
+    classes = part.join(after, "p_partkey").select(F.col("p_brand").alias("file"), F.substring("p_brand", 7, 9).cast("int").alias("file_ord"), part_name().alias("name"), F.array("base").alias("bases"), F.col("p_partkey").alias("seq"))
+    return links.inherit_edges(classes, brand_imports(spark, d)).drop("seq")
 
 
-_SPANS = "iv AS (SELECT p_brand, p_partkey AS place, p_partkey % 500 AS low, p_partkey % 500 + p_size AS high FROM part WHERE p_size % 3 = 0)"
+_SPANS = "iv AS (SELECT p_brand, p_partkey AS place, p_partkey % 500 AS low, p_partkey % 500 + p_size AS high FROM part)"
 
 
 def intervals(spark: SparkSession, d: str) -> DataFrame:
-    return t(spark, d, "part").where("p_size % 3 = 0").select("p_brand", F.col("p_partkey").alias("place"), (F.col("p_partkey") % 500).alias("low"), (F.col("p_partkey") % 500 + F.col("p_size")).alias("high"))
+    return t(spark, d, "part").select("p_brand", F.col("p_partkey").alias("place"), (F.col("p_partkey") % 500).alias("low"), (F.col("p_partkey") % 500 + F.col("p_size")).alias("high"))
 
 
 @query(
-    f"""WITH {_SPANS}, pt AS (SELECT p_partkey, p_brand, p_partkey % 500 AS point FROM part WHERE p_size % 3 = 1),
+    f"""WITH {_SPANS}, pt AS (SELECT p_partkey, p_brand, p_partkey * 7 % 600 AS point FROM part),
     hit AS (SELECT p_partkey, place, high - low AS size FROM pt JOIN iv USING (p_brand) WHERE point BETWEEN low AND high)
     SELECT pt.p_partkey, coalesce(arg_min(place, size * 10000000 + place), -1) AS smallest, coalesce(min(place), -1) AS first FROM pt LEFT JOIN hit USING (p_partkey) GROUP BY 1"""
 )
 def interval_enclosing(spark: SparkSession, d: str) -> DataFrame:
-    points = t(spark, d, "part").where("p_size % 3 = 1").select("p_partkey", "p_brand", (F.col("p_partkey") % 500).alias("point"))
+    points = t(spark, d, "part").select("p_partkey", "p_brand", (F.col("p_partkey") * 7 % 600).alias("point"))
     spans = intervals(spark, d)
     inner = links.enclosing(points, spans, ["p_brand"], True).select("p_partkey", F.coalesce("inside", F.lit(-1)).cast("long").alias("smallest"))
     return inner.join(links.enclosing(points, spans, ["p_brand"], False).select("p_partkey", F.coalesce("inside", F.lit(-1)).cast("long").alias("first")), "p_partkey")
@@ -491,7 +504,7 @@ def violation_order(spark: SparkSession, d: str) -> DataFrame:
     e = nation_edges(spark, d)
     found = rules.layer_violations(e, e.select(F.col("from").alias("path")), LAYERS).unionAll(rules.boundary_violations(e, BOUNDARIES))
     rows = rules.ordered(found.unionAll(found)).select("rule", F.col("files")[0].alias("f"), F.col("files")[1].alias("t"), "message")
-    return rows.withColumn("place", F.row_number().over(Window.orderBy("rule", "f", "t", "message")).cast("long"))
+    return placed(rows, ["rule", "f", "t", "message"])
 
 
 GLOBS = ("src/**", "**/*.py", "*.rs", "src/core", "lib/?til.js", "src/*/types.zig", "**", "cmd/**/main.go", "docs/readme.md", "*/mod.*")
@@ -503,9 +516,8 @@ GLOBS = ("src/**", "**/*.py", "*.rs", "src/core", "lib/?til.js", "src/*/types.zi
     SELECT pattern, path FROM paths JOIN g ON regexp_matches(path, re)"""
 )
 def glob_matches(spark: SparkSession, d: str) -> DataFrame:
-    rows = [(g, glob_regex(g)) for g in GLOBS]
-    globs = spark.createDataFrame(rows, "pattern string, re string")
-    return all_paths(spark, d).join(F.broadcast(globs), F.expr("path RLIKE re")).select("pattern", "path")
+    hits = F.array_compact(F.array(*[F.when(F.col("path").rlike(glob_regex(g)), F.lit(g)) for g in GLOBS]))
+    return all_paths(spark, d).select(F.explode(hits).alias("pattern"), "path")
 
 
 CHECKED = Rules({"min_quality": 0.9, "min_acyclicity": 0.99, "min_equality": 0.01}, {"max_cycles": 0, "max_file_lines": 100, "max_fn_lines": 10_000_000, "max_cyclomatic": 47}, LAYERS, BOUNDARIES)
@@ -540,9 +552,69 @@ def per_item_ceiling(spark: SparkSession, d: str) -> DataFrame:
     return found.select("rule", F.col("files")[0].alias("file"), "subject", F.col("line").cast("long").alias("line"), "message")
 
 
-@query("SELECT 11::BIGINT AS n")
+RULES_TEXT = """# what a release must keep
+[constraints]
+min_quality = 0.9
+min_acyclicity = 0.99 # nearly no cycles
+max_cycles = 0
+max_cyclomatic = 47
+[[layers]]
+name = "low"
+paths = ["AFRICA/**", "AMERICA/**"]
+order = 0
+[[layers]]
+name = "high"
+paths = ["EUROPE/**", "MIDDLE EAST/**"]
+order = 1
+[[boundaries]]
+from = "ASIA/**"
+to = "EUROPE/*"
+[[boundaries]]
+from = "**"
+to = "NATION_1?.c"
+reason = "late"
+"""
+
+
+@query(
+    f"""WITH lines AS (SELECT unnest(string_split('{RULES_TEXT}', chr(10))) AS line)
+    SELECT count(*) FILTER (WHERE regexp_matches(line, '^(min|max)_')) + (count(*) FILTER (WHERE line = '[[layers]]') >= 2)::INT + count(*) FILTER (WHERE line = '[[boundaries]]') AS n FROM lines"""
+)
 def rules_checked(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([(rules.rules_checked(CHECKED),)], "n long")
+    return spark.createDataFrame([(rules.rules_checked(parse_rules(RULES_TEXT)),)], "n long")
+
+
+_LOW_HIGH = "CASE WHEN {0} LIKE 'AFRICA/%' OR {0} LIKE 'AMERICA/%' THEN 0 WHEN {0} LIKE 'EUROPE/%' OR {0} LIKE 'MIDDLE EAST/%' THEN 1 END"
+
+
+@query(
+    f"""WITH {_HEALTH_RAW}, {_SCORES}, {_NATION_EDGES.removeprefix(HOPS_SQL + ", ").replace("hops", f"(WITH {HOPS_SQL} SELECT * FROM hops)")}
+    SELECT 'min_quality' AS rule, 'quality ' || printf('%.3f', quality_signal) || ' < required 0.900' AS message, NULL AS file, NULL::INT AS line FROM z WHERE quality_signal < 0.9
+    UNION ALL SELECT 'min_acyclicity', 'acyclicity ' || printf('%.3f', acyclicity) || ' < required 0.990 (' || cycles || ' cycles)', NULL, NULL FROM z WHERE acyclicity < 0.99
+    UNION ALL SELECT 'max_cycles', cycles || ' cycles > allowed 0', NULL, NULL FROM z WHERE cycles > 0
+    UNION ALL SELECT 'max_cyclomatic', p_brand || ':' || p_partkey || ': ' || p_name || ' has cyclomatic complexity ' || p_size || ' > allowed 47', p_brand, p_partkey FROM part WHERE p_size > 47
+    UNION ALL SELECT 'layer_order', 'layer ''high'' (order 1) imports ''low'' (order 0)', f, NULL FROM e WHERE {_LOW_HIGH.format("f")} > {_LOW_HIGH.format("t")}
+    UNION ALL SELECT 'boundary', f || ' must not import ' || t, f, NULL FROM e WHERE f LIKE 'ASIA/%' AND regexp_matches(t, '^EUROPE/[^/]*$')
+    UNION ALL SELECT 'boundary', f || ' must not import ' || t || ' — late', f, NULL FROM e WHERE regexp_matches(t, '(^|/)NATION_1[^/][.]c$')"""
+)
+def rules_check(spark: SparkSession, d: str) -> DataFrame:
+    """The whole check of a rule file's text."""
+    e = nation_edges(spark, d)
+    parts = t(spark, d, "part").select(F.col("p_brand").alias("file"), F.col("p_name").alias("name"), F.col("p_partkey").cast("int").alias("start_line"), F.col("p_size").alias("cyclomatic"), F.lit(0).alias("cognitive"))
+    found = rules.check(parse_rules(RULES_TEXT), checked_health(spark, d), parts, e, e.select(F.col("from").alias("path")))
+    return found.select("rule", "message", F.get("files", F.lit(0)).alias("file"), "line")
+
+
+ODD_PATHS = ["/rooted", "C:/x", "a//b", "a/../b", "./a", "a/.", "a\\b", "", "..", "a/", "ok/..a", "ok/a b", "c:", "aC:/x"]
+
+
+@query(
+    f"""WITH {PATHS_SQL}, p AS (SELECT path FROM paths UNION ALL SELECT * FROM (VALUES {", ".join(f"('{p}')" for p in ODD_PATHS)}) v(path))
+    SELECT path FROM p WHERE path = '' OR starts_with(path, '/') OR contains(path, chr(92)) OR regexp_matches(path, '^[A-Za-z]:') OR list_has_any(string_split(path, '/'), ['', '.', '..'])"""
+)
+def bad_input_paths(spark: SparkSession, d: str) -> DataFrame:
+    paths = all_paths(spark, d).unionAll(spark.createDataFrame([(p,) for p in ODD_PATHS], "path string"))
+    return rules.bad_paths(paths)
 
 
 BEFORE = {"quality_signal": 0.99, "cycle_count": 0, "max_depth": 1, "dead_functions": 1_000_000, "duplicate_functions": 0}

@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterable
 from dataclasses import dataclass
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from codehealth.functions.paths import file_name, parent
 from codehealth.sources.toml import TomlError, parse
 
 MANIFEST_BYTES = 64 * 1024
+MANIFESTS = ("Cargo.toml", "package.json")
 SKIPPED_PARTS = ("/target/", "/node_modules/", "/.git/", "/vendor/")
 
 
@@ -52,14 +57,26 @@ def package_aliases(manifest: str, text: str) -> list[Alias]:
     return [Alias(name, beside(manifest, "index.js" if main is None else main))]
 
 
-def aliases(manifests: dict[str, bytes], files: set[str]) -> list[Alias]:
-    """Aliases of all manifests (by path, in order) whose root file is among ``files``; the first of a name counts."""
+def named(manifests: Iterable[tuple[str, bytes]]) -> list[Alias]:
+    """Aliases of manifests (path and content, in order); the first of a name counts."""
     out: dict[str, Alias] = {}
-    for path, data in manifests.items():
-        readers = {"Cargo.toml": cargo_aliases, "package.json": package_aliases}
-        reader = readers.get(file_name(path))
+    for path, data in manifests:
+        reader = READERS.get(file_name(path))
         if reader is None or any(p in path for p in SKIPPED_PARTS) or not 0 < len(data) <= MANIFEST_BYTES:
             continue
         for alias in reader(path, data.decode("utf-8", "surrogateescape")):
             out.setdefault(alias.name, alias)
-    return [a for a in out.values() if a.root_file in files]
+    return list(out.values())
+
+
+READERS = dict(zip(MANIFESTS, (cargo_aliases, package_aliases)))
+
+
+def aliases(tree: DataFrame) -> dict[str, str]:
+    """Root files by package name, of the manifests of ``tree`` (path, ord, name, content) whose root file is in it."""
+    rows = tree.where(F.col("name").isin(*MANIFESTS) & F.col("content").isNotNull()).orderBy("ord").select("path", "content")
+    found = named((r["path"], bytes(r["content"])) for r in rows.toLocalIterator())
+    if not found:
+        return {}
+    roots = tree.sparkSession.createDataFrame([(a.name, a.root_file) for a in found], "name string, path string")
+    return {r["name"]: r["path"] for r in roots.join(tree.select("path"), "path", "left_semi").collect()}

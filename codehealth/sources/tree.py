@@ -10,18 +10,20 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from codehealth.functions.paths import canonical
 from codehealth.sources.languages import EXCLUDED_DIRS, import_language, language_of
+from codehealth.sources.manifests import MANIFEST_BYTES, MANIFESTS
 
 #: Limits in bytes: of a file that is listed as read, of a source that is parsed, of any read.
 FILE_BYTES, PARSE_BYTES, READ_BYTES = 512 * 1024, 100 * 1024, 2 * 1024 * 1024
 #: Further directory names that are skipped.
 MORE_EXCLUDED = (".git", "node_modules", "target", "__pycache__", ".zig-cache")
 FILES_PER_TASK = 256
-SCHEMA = "path string, ord int, name string, lang string, import_lang string, size long, skipped string, content binary"
+SCHEMA = "path string, ord int, name string, lang string, import_lang string, size long, content binary"
 
 
 class RootError(OSError):
@@ -42,6 +44,11 @@ def listed(root: str, excluded: frozenset[str]) -> Iterator[tuple[str, int]]:
         stack += [(f"{below}/{e.name}" if below else e.name, e.path) for e in found]
 
 
+def skip_reason(size: Column, parsed: Column, file_bytes: int = FILE_BYTES, parse_bytes: int = PARSE_BYTES) -> Column:
+    """Why a file's content isn't read: it is too large, or ``parsed`` and too large for that; null if it is read."""
+    return F.when(size > min(file_bytes, READ_BYTES), "file_too_large").when(parsed & (size > parse_bytes), "parse_too_large")
+
+
 class Chunk(InputPartition):
     def __init__(self, files: list[tuple[str, int, int]]):
         super().__init__(None)
@@ -55,6 +62,7 @@ class TreeReader(DataSourceReader):
         self.excluded = frozenset(EXCLUDED_DIRS) | frozenset(more.split(",") if more else MORE_EXCLUDED)
         self.file_bytes = int(options.get("file_bytes", FILE_BYTES))
         self.parse_bytes = int(options.get("parse_bytes", PARSE_BYTES))
+        self.manifests = options.get("manifests", "false").lower() == "true"
 
     def partitions(self) -> list[Chunk]:
         if not os.path.isdir(self.root):
@@ -65,19 +73,16 @@ class TreeReader(DataSourceReader):
     def read(self, chunk: Chunk) -> Iterator[tuple]:
         for path, place, size in chunk.files:
             lang = import_language(path)
-            if size > min(self.file_bytes, READ_BYTES):
-                skipped = "file_too_large"
-            else:
-                skipped = "parse_too_large" if lang and size > self.parse_bytes else None
             content = None
-            if lang and skipped is None:
+            wanted = lang and size <= self.parse_bytes or self.manifests and os.path.basename(path) in MANIFESTS and size <= MANIFEST_BYTES
+            if wanted and size <= min(self.file_bytes, READ_BYTES):
                 with open(os.path.join(self.root, path), "rb") as f:
                     content = f.read(READ_BYTES)
-            yield path, place, os.path.basename(path), language_of(path), lang, size, skipped, content
+            yield path, place, os.path.basename(path), language_of(path), lang, size, content
 
 
 class SourceTree(DataSource):
-    """``spark.read.format("sourcetree").load(root)``; options exclude_dirs, file_bytes and parse_bytes."""
+    """``spark.read.format("sourcetree").load(root)``; options exclude_dirs, file_bytes, parse_bytes and manifests."""
 
     @classmethod
     def name(cls) -> str:
@@ -90,7 +95,9 @@ class SourceTree(DataSource):
         return TreeReader(dict(self.options))
 
 
-def read_tree(spark: SparkSession, root: str, **options) -> DataFrame:
-    """One row per regular file of the tree; content only of sources that are parsed."""
+def read_tree(spark: SparkSession, root: str, file_bytes: int = FILE_BYTES, parse_bytes: int = PARSE_BYTES, **options) -> DataFrame:
+    """One row per regular file of the tree; content only of sources that are parsed, and of manifests if asked for."""
     spark.dataSource.register(SourceTree)
-    return spark.read.format("sourcetree").options(**{k: str(v) for k, v in options.items()}).load(root)
+    given = {k: str(v) for k, v in {"file_bytes": file_bytes, "parse_bytes": parse_bytes, **options}.items()}
+    rows = spark.read.format("sourcetree").options(**given).load(root)
+    return rows.withColumn("skipped", skip_reason(F.col("size"), F.col("import_lang") != "", file_bytes, parse_bytes))

@@ -3,7 +3,8 @@ import random
 import pytest
 
 from codehealth.operators import graph as G
-from codehealth.operators import resolve, stats
+from codehealth.operators import graph, links, resolve, stats
+from codehealth.operators.ordering import placed
 
 
 def frame(spark, edges):
@@ -154,3 +155,68 @@ def test_resolution(raw, path, want):
     index |= {(resolve.SUFFIX, s): next(iter(fs)) for s, fs in keys.items() if len(fs) == 1}
     found = next((index[p] for p in resolve.probes(raw, path, {"mypkg": "rs/geo/mod.rs"}) if p in index), None)
     assert found == want
+
+
+def brute_components(edges):
+    reach = {}
+    for a, _ in edges:
+        todo, seen = [a], set()
+        while todo:
+            for x, y in edges:
+                if x == todo[-1] and y not in seen:
+                    seen.add(y)
+                    todo.insert(0, y)
+            todo.pop()
+        reach[a] = seen
+    out = {a: {b for b in seen if b != a and a in reach.get(b, ())} | {a} for a, seen in reach.items()}
+    return {a: max(c) for a, c in out.items() if len(c) > 1}
+
+
+@pytest.mark.parametrize("task_edges", [0, 12, 1000])
+def test_components_and_heights_in_and_out_of_one_task(spark, task_edges):
+    rng = random.Random(task_edges)
+    for n in (6, 30):
+        edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(n + n // 3)]
+        table = spark.createDataFrame([*edges, (None, 1), (2, None)], "src long, dst long")
+        assert {r["id"]: r["scc"] for r in graph.components(table, task_edges).collect()} == brute_components(edges)
+        down = [(a, b) for a, b in edges if a < b]
+        height = {}
+        for v in reversed(range(n)):
+            height[v] = max((height[b] + 1 for a, b in down if a == v), default=0)
+        ends = {x for e in down for x in e}
+        got = graph.heights(spark.createDataFrame(down, "src long, dst long"), task_edges).collect()
+        assert {r["id"]: r["height"] for r in got} == {v: height[v] for v in ends} and len(got) == len(ends)
+
+
+def test_long_chains(spark):
+    n = 100_000
+    chain = spark.range(n).selectExpr("id AS src", "id + 1 AS dst", "id AS seq")
+    starts = spark.createDataFrame([(0, 0)], "id long, ord long")
+    assert graph.components(chain).count() == 0
+    depth, path = graph.longest_path(starts, chain, True)
+    assert depth == n and path == list(range(n + 1))
+    ring = chain.selectExpr("src", f"dst % {n} AS dst")
+    assert [tuple(r) for r in graph.components(ring).groupBy("scc").count().collect()] == [(n - 1, n)]
+
+
+def test_intervals_around_points_against_brute_force(spark):
+    rng = random.Random(5)
+    spans = [(rng.choice("ab"), k, (low := rng.randrange(-40, 60)), low + rng.randrange(-2, 40)) for k in range(60)] + [("a", 99, 5, 5), ("b", 98, -1000, 1_000_000)]
+    points = [(rng.choice("abc"), rng.randrange(-60, 120)) for _ in range(200)] + [("a", None), (None, 3)]
+    left = spark.createDataFrame(points, "key string, point long")
+    right = spark.createDataFrame([*spans, ("a", 97, None, 3)], "key string, place long, low long, high long")
+    for smallest in (True, False):
+        want = []
+        for key, p in points:
+            around = [((high - low) if smallest else 0, place) for k, place, low, high in spans if k == key and p is not None and low <= p <= high]
+            want.append((key, p, min(around)[1] if around else None))
+        got = [tuple(r) for r in links.enclosing(left, right, ["key"], smallest).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_places_in_a_global_order(spark):
+    rng = random.Random(6)
+    values = [rng.randrange(10_000) for _ in range(500)]
+    got = placed(spark.createDataFrame([(v,) for v in values], "v long").repartition(7), ["v"]).collect()
+    assert [r["v"] for r in sorted(got, key=lambda r: r["place"])] == sorted(values) and sorted(r["place"] for r in got) == list(range(1, 501))
+    assert placed(spark.createDataFrame([], "v long"), ["v"]).collect() == []

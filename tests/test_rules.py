@@ -4,7 +4,7 @@ from codehealth.functions.globs import glob_match
 from codehealth.operators import rules as R
 from codehealth.sources import baseline as B
 from codehealth.sources import toml
-from codehealth.sources.manifests import Alias, aliases
+from codehealth.sources.manifests import Alias, aliases, named
 from codehealth.sources.rulefile import Boundary, InvalidRules, Layer, Rules, parse_rules
 
 GOOD = """
@@ -108,10 +108,14 @@ def test_baseline(tmp_path):
             B.loads(bad)
 
 
-def test_manifests():
+def test_manifests(spark):
     found = {
         "Cargo.toml": b'[package]\nname = "my-app"\n[lib]\nname = "app_lib"\npath = "src/x.rs"\n', "sub/package.json": b'{"name": "@a/b", "main": "m.js"}', "bad/Cargo.toml": b"[[", "more/package.json": b'{"name": "c", "version": "1"}',
         "a/node_modules/package.json": b'{"name": "d"}', "z/package.json": b'{"name": "gone"}',
     }
-    files = {"src/x.rs", "sub/m.js", "more/index.js"}
-    assert aliases(found, files) == [Alias("app_lib", "src/x.rs"), Alias("my_app", "src/x.rs"), Alias("@a/b", "sub/m.js")]
+    files = ["src/x.rs", "sub/m.js", "more/index.js"]
+    assert named(found.items()) == [Alias("app_lib", "src/x.rs"), Alias("my_app", "src/x.rs"), Alias("@a/b", "sub/m.js"), Alias("gone", "z/index.js")]
+    rows = [(p, k, p.rpartition("/")[2], bytearray(found.get(p, b"x"))) for k, p in enumerate([*found, *files])]
+    tree = spark.createDataFrame(rows, "path string, ord int, name string, content binary")
+    assert aliases(tree) == {"app_lib": "src/x.rs", "my_app": "src/x.rs", "@a/b": "sub/m.js"}
+    assert aliases(tree.where("path = 'src/x.rs'")) == {}
