@@ -11,15 +11,15 @@ sum over its words; truncation and budget questions are lookups in it.
 from __future__ import annotations
 
 import json
-import unicodedata
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Regex, Tokenizer, pre_tokenizers
 
 LIMIT = 2048
 #: Chunks and words whose counts a worker keeps, and the longest that is kept.
@@ -49,7 +49,10 @@ class PrefixCounter(dict):
         special = [t["content"] for t in spec["added_tokens"]]
         self.special = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
         self.specials = set(special)
-        self.split = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        first = spec["pre_tokenizer"]["pretokenizers"][0]
+        self.split = regex.compile(first["pattern"]["Regex"])
+        self.splitter = pre_tokenizers.Split(Regex(first["pattern"]["Regex"]), first["behavior"].lower(), first["invert"])
+        self.normalizer = Tokenizer.from_file(path).normalizer
         #: Plain and word-final tokens as symbol strings without the mark, by the number of symbols.
         self.plain = {t for t in self.vocab if not t.endswith(self.end)}
         self.final = {t[: -len(self.end)] for t in self.vocab if t.endswith(self.end)}
@@ -123,10 +126,20 @@ class PrefixCounter(dict):
         return found
 
     def normalized(self, part: str) -> str:
-        return unicodedata.normalize("NFC", part).lower() if not part.isascii() else part.lower()
+        """The library's own normal form: its Unicode tables may be of another version than Python's."""
+        return part.lower() if part.isascii() else self.normalizer.normalize_str(part)
+
+    def spans(self, part: str) -> list[tuple[int, int]]:
+        """Begin and end of each word of a normalized text."""
+        if part.isascii():
+            return [m.span() for m in self.split.finditer(part)]
+        return [span for _, span in self.splitter.pre_tokenize_str(part)]
+
+    def words(self, part: str) -> list[str]:
+        return self.split.findall(part) if part.isascii() else [w for w, _ in self.splitter.pre_tokenize_str(part)]
 
     def __missing__(self, chunk: str) -> int:
-        count = sum(map(self.word_total, self.split.findall(chunk)))
+        count = sum(map(self.word_total, self.words(chunk)))
         if len(chunk) <= CACHE_CHARS:
             if len(self) >= CACHE_WORDS:
                 self.clear()
@@ -175,15 +188,15 @@ class PrefixCounter(dict):
                 before += 1
                 continue
             at = 0
-            for m in self.split.finditer(part):
-                out += [before] * (m.start() - at)
-                w = m[0]
+            for begin, end in self.spans(part):
+                out += [before] * (begin - at)
+                w = part[begin:end]
                 if len(w) > 1 and w[0] == "'" and w[1:].isalpha():
-                    counts = [sum(map(self.word_total, self.split.findall(w[:k]))) for k in range(1, len(w) + 1)]
+                    counts = [sum(map(self.word_total, self.words(w[:k]))) for k in range(1, len(w) + 1)]
                 else:
                     counts = self.word(w)
                 out += [before + c for c in counts]
-                before, at = out[-1], m.end()
+                before, at = out[-1], end
             out += [before] * (len(part) - at)
         return np.array(out, np.int64)
 
@@ -204,23 +217,33 @@ def counter(path: str) -> PrefixCounter:
 
 
 def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT) -> DataFrame:
-    """id, n_bytes, n_tokens, over_limit for every row and whole text, read off the text's prefix table.
+    """id, n_bytes, n_tokens, over_limit, prefix_tokens for every row and whole text.
 
-    ``path``: the tokenizer's JSON file, at the same place on every executor. Null text
-    counts as empty; repeated rows give repeated rows; other columns are ignored.
+    ``prefix_tokens`` is the text's prefix table: entry k counts the tokens up to the end
+    of the k-th piece between white space (special strings are pieces of their own), so
+    what fits a budget is a lookup, see ``fitting``. ``path``: the tokenizer's JSON file,
+    at the same place on every executor. Null text counts as empty; repeated rows give
+    repeated rows; other columns are ignored.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = counter(path)
         for batch in batches:
-            n = [table.total(t) if t else 0 for t in batch.column(1).to_pylist()]
-            counts = pa.array(n, pa.int64())
+            ends = [table.table(t)[1] if t else np.zeros(0, np.int64) for t in batch.column(1).to_pylist()]
+            n = [int(e[-1]) if len(e) else 0 for e in ends]
+            sizes = np.cumsum([0, *map(len, ends)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(ends).astype(np.int64) if ends else np.zeros(0, np.int64)))
             over = pa.array([x > limit for x in n], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), counts, over], ["id", "n_bytes", "n_tokens", "over_limit"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), over, lists], ["id", "n_bytes", "n_tokens", "over_limit", "prefix_tokens"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"))
-    return rows.mapInArrow(run, f"id {kind}, n_bytes long, n_tokens long, over_limit boolean").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(run, f"id {kind}, n_bytes long, n_tokens long, over_limit boolean, prefix_tokens array<long>").withColumnRenamed("id", id_col)
+
+
+def fitting(prefix_tokens: Column, budget: int) -> Column:
+    """How many of a text's leading pieces have at most ``budget`` tokens together."""
+    return F.size(F.filter(prefix_tokens, lambda n: n <= budget))
 
 
 def prefix_tables(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,10 +2,11 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tests.llm.helpers import docs, with_clashes
 from tokenizers import Tokenizer
 
-from codehealth.llm.token_counts import PrefixCounter, prefix_tables, token_counts, truncated
+from codehealth.llm.token_counts import PrefixCounter, fitting, prefix_tables, token_counts, truncated
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 LIBRARY = Tokenizer.from_file(PATH)
@@ -49,6 +50,15 @@ def test_every_prefix(text):
     assert counts.tolist() == [library(shown[:k]) for k in range(len(shown) + 1)]
 
 
+def test_every_letter_beyond_ascii():
+    for first in range(0x80, 0x1FFFF, 0x400):
+        text = " ".join(f"a{chr(c)}b1" for c in range(first, first + 0x400) if not 0xD800 <= c < 0xE000)
+        ends = TABLE.table(text)[1]
+        if not len(ends) or ends[-1] == library(text):
+            continue
+        raise AssertionError([hex(ord(x[1])) for x in text.split(" ") if len(x) > 1 and TABLE.total(x) != library(x)])
+
+
 def test_budgets_need_no_encoding():
     counts = TABLE.prefixes("the quick brown fox jumps")
     assert truncated(counts, 0) == 0
@@ -63,6 +73,9 @@ def test_query(spark):
     for k, t in enumerate(texts):
         n = library(t or "")
         assert (rows[k]["n_bytes"], rows[k]["n_tokens"], rows[k]["over_limit"]) == (len((t or "").encode()), n, n > 2048)
+        assert (rows[k]["prefix_tokens"] or [0])[-1] == n and rows[k]["prefix_tokens"] == sorted(rows[k]["prefix_tokens"])
+    some = token_counts(docs(spark, [(1, "the quick  brown fox")]), PATH).select(fitting(F.col("prefix_tokens"), 3).alias("n"), "prefix_tokens").first()
+    assert some["prefix_tokens"] == [library(x) for x in ("the", "the quick", "the quick brown", "the quick brown fox")] and some["n"] == sum(x <= 3 for x in some["prefix_tokens"])
     assert token_counts(docs(spark, []), PATH).collect() == []
     some = prefix_tables(docs(spark, [(1, "It's"), (2, None)]), PATH).collect()
     assert {r["doc_id"]: r["prefix_tokens"] for r in some} == {1: [library("it's"[:k]) for k in range(5)], 2: [0]}
