@@ -20,10 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from codehealth.llm.common import Hashes, cut, mixed, shingles, utf8, without, word_hashes
+from codehealth.llm.common import Hashes, cut, likely_in, mixed, shingles, utf8, without, word_hashes
 
 WORDS, CONTAINED, MISS = 5, 0.8, 1e-9
-#: Shingles of one block of items, which is what is broadcast at once: 8 bytes each.
+#: Shingles of items that are broadcast to every task, at most: 8 bytes each.
 BLOCK_SHINGLES = 2_000_000
 
 
@@ -109,39 +109,114 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     runs of ``words`` of them (an item of fewer words is one shingle). Containment is the
     share of the item's distinct shingles that the document holds; pairs from ``contained``
     up are returned. Null or wordless texts and items match nothing; repeated rows match
-    repeatedly; other columns are ignored. Items are searched in blocks of at most about
-    ``block`` shingles, each over all documents.
+    repeatedly; other columns are ignored. Items of at most about ``block`` shingles are
+    held by every task; of more, the sketches are joined to the documents' shingles by
+    hash, and the candidates' texts to their items.
     """
     rows = items.select(F.col(item_col).alias("id"), utf8(item_text).alias("data"))
     total = rows.agg(F.sum(F.octet_length("data"))).first()[0] or 0
-    blocks = max(1, -(-total // (4 * block)))
-    kind, item_kind = docs.schema[id_col].dataType.simpleString(), items.schema[item_col].dataType
     source = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("data"))
-    arrow = to_arrow_type(item_kind)
-    out = None
-    for b in range(blocks):
-        some = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("id", "data"), F.lit(blocks)) == b)
-        held = docs.sparkSession.sparkContext.broadcast([(r["id"], bytes(r["data"])) for r in some.toLocalIterator()])
-
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            index, cache = Items(held.value, words, contained, miss), Hashes()
-            for batch in batches:
-                at, found = [], []
-                for k, data in enumerate(batch.column(1)):
-                    for x in index.search(word_hashes(data.as_py(), cache)):
-                        at.append(k)
-                        found.append(x)
-                ids = batch.column(0).take(pa.array(at, pa.int64()))
-                which = pa.array([index.ids[i] for i, _, _ in found], arrow)
-                n, shared = (pa.array([x[j] for x in found], pa.int64()) for j in (1, 2))
-                share = pa.array([s / m for _, m, s in found], pa.float64())
-                yield pa.RecordBatch.from_arrays([ids, which, n, shared, share], ["id", "item", "n_item", "n_shared", "containment"])
-
-        part = source.mapInArrow(run, f"id {kind}, item {item_kind.simpleString()}, n_item long, n_shared long, containment double")
-        out = part if out is None else out.unionAll(part)
+    search = searched if total <= 4 * block else joined
+    out = search(source, rows, words, contained, miss)
     return out.withColumnRenamed("id", id_col).withColumnRenamed("item", item_col if item_col != id_col else f"item_{item_col}")
 
 
+def found_schema(source: DataFrame, rows: DataFrame) -> str:
+    kind, item_kind = (df.schema["id"].dataType.simpleString() for df in (source, rows))
+    return f"id {kind}, item {item_kind}, n_item long, n_shared long, containment double"
+
+
+def searched(source: DataFrame, rows: DataFrame, words: int, contained: float, miss: float) -> DataFrame:
+    """The matches of documents (id, data) with items (id, data) that a task can hold: their number is checked by the caller."""
+    arrow = to_arrow_type(rows.schema["id"].dataType)
+    held = source.sparkSession.sparkContext.broadcast([(r["id"], bytes(r["data"])) for r in rows.toLocalIterator()])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, cache = Items(held.value, words, contained, miss), Hashes()
+        for batch in batches:
+            at, found = [], []
+            for k, data in enumerate(batch.column(1)):
+                for x in index.search(word_hashes(data.as_py(), cache)):
+                    at.append(k)
+                    found.append(x)
+            ids = batch.column(0).take(pa.array(at, pa.int64()))
+            which = pa.array([index.ids[i] for i, _, _ in found], arrow)
+            n, shared = (pa.array([x[j] for x in found], pa.int64()) for j in (1, 2))
+            share = pa.array([s / m for _, m, s in found], pa.float64())
+            yield pa.RecordBatch.from_arrays([ids, which, n, shared, share], ["id", "item", "n_item", "n_shared", "containment"])
+
+    return source.mapInArrow(run, found_schema(source, rows))
+
+
+#: Bits of the filter that a document's shingles pass before they are joined.
+SKETCH_BITS = 1 << 26
+
+
+def joined(source: DataFrame, rows: DataFrame, words: int, contained: float, miss: float) -> DataFrame:
+    """The matches of documents (id, data) with any number of items (id, data), in one pass over the documents.
+
+    Sketches and the documents' shingles meet by hash; a pair with as many hits as the
+    item needs is a candidate, whose texts are then joined and compared exactly. Equal
+    texts are one document, equal items one item until the end.
+    """
+    digest = F.unhex(F.sha2("data", 256))
+    things = cut(rows.withColumn("item_key", digest).dropDuplicates(["item_key"]).select("item_key", "data"))
+
+    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, data in zip(batch.column(0), batch.column(1)):
+                index = Items([(0, data.as_py())], words, contained, miss)
+                if index.ids:
+                    n = len(index.keys)
+                    keys = pa.array(index.keys.view(np.int64))
+                    yield pa.RecordBatch.from_arrays([keys, pa.array([key.as_py()] * n, pa.binary()), pa.array([int(index.need[0])] * n), pa.array([index.runs[0]] * n)], ["h", "item_key", "need", "run"])
+
+    sketch = cut(things.mapInArrow(sketches, "h long, item_key binary, need long, run long"))
+    runs = sorted(r["run"] for r in sketch.select("run").distinct().collect())
+    place = F.pmod(F.col("h"), F.lit(SKETCH_BITS))
+    bits = np.zeros(SKETCH_BITS // 8, np.uint8)
+    # At most one row for each eight bits of the filter.
+    for r in sketch.groupBy((place / 8).cast("int").alias("byte")).agg(F.bit_or(F.expr(f"shiftleft(1, CAST(pmod(h, {SKETCH_BITS}) % 8 AS INT))")).alias("bits")).toLocalIterator():
+        bits[r["byte"]] = r["bits"]
+    filter_ = source.sparkSession.sparkContext.broadcast(bits)
+
+    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, cache = filter_.value, Hashes()
+        for batch in batches:
+            for key, data in zip(batch.column(0), batch.column(1)):
+                hashes = word_hashes(data.as_py(), cache)
+                for run in runs:
+                    if len(hashes) < run:
+                        continue
+                    have = shingles(hashes, run)
+                    at = have & np.uint64(SKETCH_BITS - 1)
+                    have = np.unique(have[(known[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1])
+                    if len(have):
+                        yield pa.RecordBatch.from_arrays([pa.array([key.as_py()] * len(have), pa.binary()), pa.array(have.view(np.int64)), pa.array([run] * len(have))], ["doc_key", "h", "run"])
+
+    texts = source.where("octet_length(data) > 0").withColumn("doc_key", digest)
+    met = texts.select("doc_key", "data").mapInArrow(hits, "doc_key binary, h long, run long").distinct().join(sketch, ["h", "run"])
+    pairs = cut(met.groupBy("doc_key", "item_key").agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("need")).where("n >= need").select("doc_key", "item_key"))
+    wanted = pairs.select("doc_key").distinct()
+    some = cut(likely_in(texts, "doc_key", wanted).join(wanted.hint("merge"), "doc_key"))
+    both = pairs.join(some.dropDuplicates(["doc_key"]).select("doc_key", F.col("data").alias("text")), "doc_key").join(things, "item_key")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = Hashes()
+        for batch in batches:
+            out = []
+            for doc, item, text, data in zip(*[c.to_pylist() for c in batch.columns]):
+                found = Items([(0, data)], words, contained, miss).search(word_hashes(text, cache))
+                out += [(doc, item, n, shared, shared / n) for _, n, shared in found]
+            columns = list(zip(*out)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.float64()))], ["doc_key", "item_key", "n_item", "n_shared", "containment"])
+
+    good = both.select("doc_key", "item_key", "text", "data").mapInArrow(verify, "doc_key binary, item_key binary, n_item long, n_shared long, containment double")
+    names = rows.select(F.col("id").alias("item"), digest.alias("item_key"))
+    out = good.join(some.select("doc_key", "id"), "doc_key").join(names, "item_key")
+    return out.select("id", "item", "n_item", "n_shared", "containment")
+
+
 def decontaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` without the rows whose id and text contain an item; columns and other rows stay as they are."""
     name = F.struct(F.col(id_col), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))).cast("string")
