@@ -224,11 +224,13 @@ def signed(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
     return docs.select("id", "data", F.octet_length("data").cast("long").alias("size")).mapInArrow(run, "id long, keys array<long>, marks binary, size long")
 
 
-def linked_heads(ids: np.ndarray, marks: np.ndarray, heads: np.ndarray, lone: bool, least: float) -> tuple[list[np.ndarray], np.ndarray]:
-    """([pairs of ids], which documents no head covers) of one part of a key; a lone part takes heads from those left until none is."""
-    open_ = ~heads
-    pairs, todo = [], np.flatnonzero(heads).tolist()
-    left = 0
+def linked_heads(ids: np.ndarray, marks: np.ndarray, heads: np.ndarray, lone: bool, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(pairs of ids, which documents no head covers) of one part of a key; a lone part takes heads from those left until none is.
+
+    The pairs hang each document on the least id of those that the heads join it to.
+    """
+    open_, group = ~heads, np.arange(len(ids))
+    todo, left = np.flatnonzero(heads).tolist(), 0
     while True:
         if not todo:
             while left < len(ids) and not open_[left]:
@@ -238,12 +240,15 @@ def linked_heads(ids: np.ndarray, marks: np.ndarray, heads: np.ndarray, lone: bo
             todo = [left]
         head = todo.pop()
         agree = (marks == marks[head]).mean(1)
-        near = np.flatnonzero(agree >= COVERED + least - 1)
-        near = near[ids[near] != ids[head]]
-        if len(near):
-            pairs.append(np.stack([ids[near], np.full(len(near), ids[head])]))
+        near = group[agree >= COVERED + least - 1]
+        if (near != near[0]).any():
+            joined = np.zeros(len(ids), bool)
+            joined[near] = True
+            group[joined[group]] = near.min()
         open_ &= agree < COVERED
-    return pairs, open_
+    # Documents come in order of their ids, so a group's number is the place of its least id.
+    first = ids[group]
+    return np.stack([ids, first])[:, ids != first], open_
 
 
 def candidate_links(sigs: DataFrame, similar: float, size: int, part_docs: int, heads: int) -> DataFrame:
@@ -265,8 +270,8 @@ def candidate_links(sigs: DataFrame, similar: float, size: int, part_docs: int,
             marks = np.frombuffer(b"".join(r[1] for r in rows), np.uint8).reshape(len(rows), -1)
             lone = now[2] == 1
             pairs, open_ = linked_heads(ids, marks, np.array([r[2] for r in rows]) & (not lone), lone, least)
-            if pairs:
-                u, v = np.concatenate(pairs, 1)
+            u, v = pairs
+            if len(u):
                 none = [None] * len(u)
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(none, pa.int64()), pa.array(none, pa.binary())], schema=schema)
             over = [rows[k] for k in np.flatnonzero(open_)]
