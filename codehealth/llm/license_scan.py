@@ -27,7 +27,20 @@ PHRASES = {
     "mit license": "mit",
 }
 
-#: License wording as templates. <<beginOptional>>...<<endOptional>> may be left out;
+# The wording of public licences.
+DISCLAIMER = """THIS SOFTWARE IS PROVIDED BY <<var;words="1-16">> "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+    IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL <<var;words="1-16">> BE LIABLE FOR
+    ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS
+    OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT
+    LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF
+    SUCH DAMAGE."""
+CONDITIONS = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions
+    are met: <<beginOptional>>1<<endOptional>> Redistributions of source code must retain the above copyright notice, this list of conditions and the
+    following disclaimer. <<beginOptional>>2<<endOptional>> Redistributions in binary form must reproduce the above copyright notice, this list of
+    conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+
+#: License wording as templates: whole licences, or (named notice, and those of GPL, LGPL, MPL,
+#: Apache and CC, whose texts are documents of their own) the notice that puts a work under one. <<beginOptional>>...<<endOptional>> may be left out;
 #: <<var;words="a-b">> stands for a to b words of any kind, <<var;match="regex">> for one word.
 TEMPLATES = {
     "MIT-notice": '<<beginOptional>>released <<beginOptional>>or distributed<<endOptional>> under<<endOptional>> the MIT license',
@@ -49,6 +62,30 @@ TEMPLATES = {
         <<var;words="1-16">> BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES
         WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER
         TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    "BSD-2-Clause": f"{CONDITIONS} {DISCLAIMER}",
+    "BSD-3-Clause": f"""{CONDITIONS} <<beginOptional>>3<<endOptional>> Neither the name of <<var;words="1-16">> nor the names of its contributors may
+        be used to endorse or promote products derived from this software without specific prior written permission. {DISCLAIMER}""",
+    "Zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any
+        damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial
+        applications, and to alter it and redistribute it freely, subject to the following restrictions: <<beginOptional>>1<<endOptional>> The origin
+        of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an
+        acknowledgment in the product documentation would be appreciated but is not required. <<beginOptional>>2<<endOptional>> Altered source versions
+        must be plainly marked as such, and must not be misrepresented as being the original software. <<beginOptional>>3<<endOptional>> This notice
+        may not be removed or altered from any source distribution.""",
+    "BSL-1.0": """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying
+        documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare
+        derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The
+        copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer,
+        must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative
+        works are solely in the form of machine-executable object code generated by a source language processor. THE SOFTWARE IS PROVIDED "AS IS",
+        WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR
+        PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR
+        OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN
+        THE SOFTWARE.""",
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with
+        this file, You can obtain one at <<beginOptional>>http<<endOptional>><<beginOptional>>https<<endOptional>> mozilla.org/MPL/2.0""",
+    "LGPL-2.1": 'GNU lesser general public license<<beginOptional>> as published by <<var;words="1-6">> either<<endOptional>> version 2.1 <<beginOptional>>of the license<<endOptional>> <<beginOptional>>or (at your option) any later version<<endOptional>>',
+    "LGPL-3.0": 'GNU lesser general public license<<beginOptional>> as published by <<var;words="1-6">> either<<endOptional>> version 3<<beginOptional>>.0<<endOptional>> <<beginOptional>>of the license<<endOptional>> <<beginOptional>>or (at your option) any later version<<endOptional>>',
     "Apache-2.0": """licensed under the Apache license, version 2.0 <<beginOptional>>(the "License"); you may not use
         <<var;words="1-4">> except in compliance with the License<<endOptional>>""",
     "GPL-2.0": 'GNU general public license<<beginOptional>> as published by <<var;words="1-6">> either<<endOptional>> version 2<<beginOptional>>.0<<endOptional>> <<beginOptional>>of the license<<endOptional>> <<beginOptional>>or (at your option) any later version<<endOptional>>',

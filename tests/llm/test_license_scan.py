@@ -1,7 +1,8 @@
+import pytest
 from tests.llm.helpers import docs, with_clashes
 
 from codehealth.llm import common
-from codehealth.llm.license_scan import PHRASES, TEMPLATES, Scanner, compiled, license_scan
+from codehealth.llm.license_scan import PHRASES, TEMPLATES, Scanner, compiled, license_scan, parsed
 
 MIT = TEMPLATES["MIT"]
 
@@ -64,6 +65,29 @@ def test_disclaimers_are_mandatory():
         assert labels(text.replace("TORT", "COURT")) == set()
 
 
+def filled(tree) -> list[str]:
+    """The words of a template's tree, optional regions left out and replaceable ones filled."""
+    out = []
+    for part in tree:
+        if isinstance(part, str):
+            out.append(part)
+        elif isinstance(part, tuple):
+            out += ["4" if part[1] == "[1-4]" else "0"] if part[0] == "match" else ["someone"] * part[1]
+    return out
+
+
+@pytest.mark.parametrize("label", sorted(TEMPLATES))
+def test_one_changed_mandatory_word_is_refused(label):
+    automaton, tree = compiled(label, TEMPLATES[label]), parsed(TEMPLATES[label])
+    found = [w.encode() for w in filled(tree)]
+    assert automaton.accepts(found, 0) == len(found)
+    places = [k for k, w in enumerate(found) if w.decode() in {p for p in tree if isinstance(p, str)}]
+    for k in places:
+        assert not automaton.accepts([*found[:k], b"changed", *found[k + 1 :]], 0), found[k]
+        if 0 < k < len(found) - 1 and found[k - 1] != b"someone" and found[k + 1] != b"someone":
+            assert not automaton.accepts([*found[:k], *found[k + 1 :]], 0) or found[k] == found[k + 1], found[k]
+
+
 def test_base_counts_against_brute_force(spark):
     texts = [
         None, "", "the MIT License and the mit--license, mit\nlicense", "Apache license, Version 2.0; licensed under the Apache License 2.0", "cc by cc by cc", "CC BY-NC 4.0",
