@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Callable
+from urllib.parse import urlparse
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codehealth.operators import links, resolve, stage
+from codehealth.operators import graph, links, resolve, stage, stats
+from codehealth.plans import cli
 from codehealth.plans.analysis import flagged_functions
+from codehealth.session import new_dir
+from codehealth.sources.baseline import BaselineError, loads
 from codehealth.sources.languages import import_language
+from codehealth.sources.manifests import aliases
+from codehealth.sources.rulefile import InvalidRules, parse_rules
+from codehealth.sources.toml import TomlError
+from codehealth.sources.tree import RootError, TreeReader, read_tree
 
 PROJECT = {
     "go/m.go": """package m
@@ -207,3 +218,158 @@ LONG_COPIES = {k: v.replace("return x", "return helper.plus(x)") for k, v in COP
 def source_duplicates(spark: SparkSession, d: str) -> DataFrame:
     found = stage.staged(tree(spark, LONG_COPIES))
     return flagged_functions(found, stage.functions(found), edges(found)[1]).select("file", "name", "duplicate")
+
+
+# Reading a tree: what the walk finds, leaves out and skips.
+
+BIG, HUGE = 100 * 1024, 512 * 1024
+TREE = {
+    "main.py": b"import os\n", "_under.py": b"x = 1\n", ".hidden.js": b"let x\n", "a/b.txt": b"text\n", "a/empty.rs": b"", "a/Zed.go": b"package a\n", "a.b/c.zig": b"const x = 1;\n", "big.py": b"#" * (BIG + 1), "edge.py": b"#" * BIG,
+    "huge.bin": b"x" * (HUGE + 1), "edge.bin": b"x" * HUGE, "big.md": b"m" * (BIG + 1), "Makefile": b"all:\n", "target/out.rs": b"fn x() {}\n", "a/node_modules/m.js": b"x\n", ".git/config.py": b"x\n", "vendor/v.go": b"package v\n",
+}
+
+
+def made_tree(spark: SparkSession, files: dict[str, bytes], links: tuple = ()) -> str:
+    """A folder of ``files`` in the shared folder, with links (name, path) to some of them."""
+    root = urlparse(new_dir(spark, "tree")).path
+    for path, data in files.items():
+        place = os.path.join(root, path)
+        os.makedirs(os.path.dirname(place), exist_ok=True)
+        with open(place, "wb") as f:
+            f.write(data)
+    for name, path in links:
+        os.symlink(os.path.join(root, path), os.path.join(root, name))
+    return root
+
+
+def example_tree(spark: SparkSession) -> DataFrame:
+    return read_tree(spark, made_tree(spark, TREE, (("link.py", "main.py"), ("linked", "a"))))
+
+
+@query(
+    "path, ord, name, lang, size, skipped, bytes_read",
+    "'.hidden.js', 0, '.hidden.js', 'javascript', 6, NULL, 6", "'Makefile', 1, 'Makefile', 'makefile', 5, NULL, NULL", "'_under.py', 2, '_under.py', 'python', 6, NULL, 6",
+    "'a/Zed.go', 3, 'Zed.go', 'go', 10, NULL, 10", "'a/b.txt', 4, 'b.txt', 'text', 5, NULL, NULL", "'a/empty.rs', 5, 'empty.rs', 'rust', 0, NULL, 0", "'a.b/c.zig', 6, 'c.zig', 'zig', 13, NULL, 13",
+    "'big.md', 7, 'big.md', 'markdown', 102401, NULL, NULL", "'big.py', 8, 'big.py', 'python', 102401, 'parse_too_large', NULL", "'edge.bin', 9, 'edge.bin', 'unknown', 524288, NULL, NULL",
+    "'edge.py', 10, 'edge.py', 'python', 102400, NULL, 102400", "'huge.bin', 11, 'huge.bin', 'unknown', 524289, 'file_too_large', NULL", "'main.py', 12, 'main.py', 'python', 10, NULL, 10",
+)
+def tree_files(spark: SparkSession, d: str) -> DataFrame:
+    return example_tree(spark).select("path", "ord", "name", "lang", "size", "skipped", F.octet_length("content").alias("bytes_read"))
+
+
+@query("file_count, line_count, max_file_lines", "7, 6, 1")
+def tree_totals(spark: SparkSession, d: str) -> DataFrame:
+    return stage.totals(stage.staged(example_tree(spark)))
+
+
+@query("root, error", "'file', 'RootError'", "'nothing', 'RootError'", "'folder', 'none'")
+def tree_roots(spark: SparkSession, d: str) -> DataFrame:
+    root = made_tree(spark, {"sub/x.py": b"x\n"})
+    out = []
+    for name, path in (("file", "sub/x.py"), ("nothing", "gone"), ("folder", "sub")):
+        try:
+            TreeReader({"path": os.path.join(root, path)}).partitions()
+            out.append((name, "none"))
+        except RootError as error:
+            out.append((name, type(error).__name__))
+    return spark.createDataFrame(out, "root string, error string")
+
+
+PACKAGES = {
+    "core/Cargo.toml": b'[package]\nname = "my-core"\n', "core/src/lib.rs": b"pub mod shape;\n", "core/src/shape.rs": b"pub fn area() {}\n", "app/src/run.rs": b"use my_core::shape;\nfn go() {}\n",
+    "ui/package.json": b'{"name": "@x/ui", "main": "src/index.ts"}', "ui/src/index.ts": b"export const a = 1;\n", "web/page.ts": b'import { a } from "@x/ui";\n', "lost/package.json": b'{"name": "gone", "main": "no.js"}',
+}
+
+
+def package_tree(spark: SparkSession) -> DataFrame:
+    return read_tree(spark, made_tree(spark, PACKAGES), manifests=True)
+
+
+@query("name, root_file", "'my_core', 'core/src/lib.rs'", "'@x/ui', 'ui/src/index.ts'")
+def manifest_names(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame(list(aliases(package_tree(spark)).items()), "name string, root_file string")
+
+
+@query("from_file, to_file", "'core/src/lib.rs', 'core/src/shape.rs'", "'app/src/run.rs', 'core/src/shape.rs'", "'web/page.ts', 'ui/src/index.ts'")
+def aliased_edges(spark: SparkSession, d: str) -> DataFrame:
+    found = package_tree(spark)
+    return edges(stage.staged(found, aliases(found)))[0].select("from_file", "to_file")
+
+
+# Depth of graphs with cycles, inequality without functions, configuration.
+
+CYCLIC = {
+    "ring": ([(0, 1), (1, 2), (2, 0)], [0]), "tail": ([(0, 1), (1, 0), (1, 2), (2, 3)], [0]), "loop": ([(0, 0), (0, 1)], [0]), "two": ([(0, 1), (1, 0), (2, 3), (3, 4), (4, 2)], [0, 2]), "none": ([], [0]),
+}
+
+
+@query("graph, depth, path", "'ring', 2, '0,1,2'", "'tail', 3, '0,1,2,3'", "'loop', 1, '0,1'", "'two', 2, '2,3,4'", "'none', 0, '0'")
+def cyclic_depth(spark: SparkSession, d: str) -> DataFrame:
+    out = []
+    for name, (pairs, begin) in CYCLIC.items():
+        edges_ = spark.createDataFrame([(a, b, k) for k, (a, b) in enumerate(pairs)], "src long, dst long, seq long")
+        depth, path = graph.longest_path(spark.createDataFrame([(v, v) for v in begin], "id long, ord long"), edges_, False)
+        out.append((name, depth, ",".join(map(str, path))))
+    return spark.createDataFrame(out, "graph string, depth long, path string")
+
+
+@query("source, gini", "'functions', 0.25::DOUBLE", "'files', 0.5", "'nothing', 0.0")
+def equality_source(spark: SparkSession, d: str) -> DataFrame:
+    functions, files = spark.createDataFrame([(1,), (3,)], "cyclomatic int"), spark.createDataFrame([(0,), (8,)], "lines int")
+    cases = {"functions": (functions, files), "files": (functions.limit(0), files), "nothing": (functions.limit(0), files.limit(0))}
+    return spark.createDataFrame([(k, round(float(stats.inequality(*v)), 6)) for k, v in cases.items()], "source string, gini double")
+
+
+RULE_FILES = {
+    "empty": "", "good": "[constraints]\nmin_quality = 1\n", "unknown key": "[constraints]\nmin_size = 1\n", "score above one": "[constraints]\nmin_depth = 1.5\n", "count below zero": "[constraints]\nmax_cycles = -1\n",
+    "key twice": "[constraints]\nmax_cycles = 1\nmax_cycles = 1\n", "two layers of a name": '[[layers]]\nname = "a"\npaths = ["x/**"]\norder = 0\n[[layers]]\nname = "a"\npaths = ["y/**"]\norder = 1\n',
+    "layer without order": '[[layers]]\nname = "a"\npaths = ["x/**"]\n', "rooted glob": '[[boundaries]]\nfrom = "/x"\nto = "y"\n', "two stars": '[[boundaries]]\nfrom = "a*b*c"\nto = "y"\n', "backslashes": '[[boundaries]]\nfrom = "a\\b"\nto = "y"\n',
+    "boundary twice": '[[boundaries]]\nfrom = "x"\nto = "y"\n[[boundaries]]\nfrom = "x"\nto = "y"\n', "unknown section": "[other]\nx = 1\n",
+}
+
+
+@query(
+    "file, result", "'empty', 'ok'", "'good', 'ok'", "'unknown key', 'InvalidRules'", "'score above one', 'InvalidRules'", "'count below zero', 'InvalidRules'", "'key twice', 'InvalidRules'", "'two layers of a name', 'InvalidRules'",
+    "'layer without order', 'InvalidRules'", "'rooted glob', 'InvalidRules'", "'two stars', 'InvalidRules'", "'backslashes', 'ok'", "'boundary twice', 'InvalidRules'", "'unknown section', 'InvalidRules'",
+)
+def rule_files(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame([(k, outcome(parse_rules, v)) for k, v in RULE_FILES.items()], "file string, result string")
+
+
+BASELINES = {
+    "defaults": "{}", "good": '{"schema_version": 1, "quality_signal": 0.5, "total_functions": 3, "duplicate_functions": 2}', "other schema": '{"schema_version": 2}', "no object": "[]", "not closed": "{", "unknown key": '{"x": 1}', "signal above one": '{"quality_signal": 1.5}',
+    "more dead than all": '{"dead_functions": 1}', "all duplicates": '{"total_functions": 2, "duplicate_functions": 2}', "below zero": '{"max_depth": -1}', "text": '{"cycle_count": "1"}',
+}
+
+
+@query(
+    "file, result", "'defaults', 'ok'", "'good', 'ok'", "'other schema', 'UnsupportedBaselineSchema'", "'no object', 'InvalidBaseline'", "'not closed', 'InvalidBaseline'", "'unknown key', 'InvalidBaseline'", "'signal above one', 'InvalidBaseline'",
+    "'more dead than all', 'InvalidBaseline'", "'all duplicates', 'InvalidBaseline'", "'below zero', 'InvalidBaseline'", "'text', 'InvalidBaseline'",
+)
+def baseline_files(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame([(k, outcome(loads, v)) for k, v in BASELINES.items()], "file string, result string")
+
+
+def outcome(read: Callable, text: str) -> str:
+    """The code of the error that reading the text ends with, or ok."""
+    try:
+        read(text)
+    except (InvalidRules, BaselineError, TomlError) as error:
+        return getattr(error, "code", type(error).__name__)
+    return "ok"
+
+
+@query("command, status, shown", "'scan', 0, 'files=12 functions=17 dead=2 imports=7 calls=3 inherits=2'", "'check', 1, 'rules=2 violations=4'", "'save', 0, 'saved=true'", "'gate', 0, 'pass=true violations=0'")
+def commands(spark: SparkSession, d: str) -> DataFrame:
+    """The commands' JSON on the project, whose answers are worked out by hand."""
+    files = {k: v.encode() for k, v in PROJECT.items()} | {"extra.py": b"x = 1\n", cli.CONFIG_DIR + "/rules.toml": b'[constraints]\nmax_cyclomatic = 3\n[[boundaries]]\nfrom = "src/main.py"\nto = "src/*.py"\n'}
+    root = made_tree(spark, files)
+    scan, _, a = cli.run(spark, cli.Options("scan", root))
+    check, _, b = cli.run(spark, cli.Options("check", root))
+    saved, _, c = cli.run(spark, cli.Options("gate", root, save=True))
+    gate, _, e = cli.run(spark, cli.Options("gate", root))
+    rows = [
+        ("scan", a, f"files={scan['files']} functions={scan['functions']} dead={scan['dead_functions']} imports={scan['import_edges']} calls={scan['call_edges']} inherits={scan['inherit_edges']}"),
+        ("check", b, f"rules={check['rules_checked']} violations={len(check['violations'])}"), ("save", c, f"saved={str(saved['saved']).lower()}"), ("gate", e, f"pass={str(gate['pass']).lower()} violations={len(gate['violations'])}"),
+    ]
+    return spark.createDataFrame(rows, "command string, status int, shown string")
