@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from codehealth.llm.common import mixed, utf8
 from codehealth.llm.language_id import remainder
 
-#: Labelled documents that the field is fitted to, at most, and the most lines of one of them.
+#: Labelled documents that the field is fitted to, at most, and the most lines of one chain: of a longer text the first, middle and last so many are chains of their own.
 TRAIN_DOCS, TRAIN_LINES = 4000, 128
 THRESHOLD = 0.3
 STEPS, RATE, L2 = 250, 0.05, 1e-4
@@ -145,6 +145,56 @@ def messages(e: np.ndarray, chains: Chains, t: np.ndarray) -> tuple[np.ndarray,
     return ahead, back
 
 
+def long_messages(e: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``messages`` of one chain, in runs of the square root of its length that advance together.
+
+    A run turns the odds before it into the odds after it by a matrix of two rows, so the
+    runs' matrices come first, then the odds between runs, then those inside.
+    """
+    n = len(e)
+    width = max(1, int(np.sqrt(n)))
+    runs = -(-n // width)
+
+    def forward(e: np.ndarray, t: np.ndarray) -> np.ndarray:
+        # Lines that fill up the last run come after all others and change nothing before them.
+        grid = np.zeros((runs, width))
+        grid.ravel()[:n] = e
+        # logs[r, i, j]: weight of label j at the end of what is done of run r, if the line before the run has label i.
+        logs = np.broadcast_to(np.where(np.eye(2) > 0, 0.0, -np.inf), (runs, 2, 2)).copy()
+        for k in range(width):
+            logs = np.logaddexp(logs[:, :, :1] + t[0], logs[:, :, 1:] + t[1])
+            logs[:, :, 1] += grid[:, k, None]
+            logs -= logs.max(axis=(1, 2), keepdims=True)
+        odds = np.zeros(runs)
+        state = None
+        for r in range(runs):
+            if state is not None:
+                odds[r] = state[1] - state[0]
+            if state is None:
+                first = np.array([0.0, grid[0, 0]])
+                for k in range(1, width):
+                    first = np.logaddexp(first[0] + t[0], first[1] + t[1])
+                    first[1] += grid[0, k]
+                    first -= first.max()
+                state = first
+            else:
+                state = np.logaddexp(state[0] + logs[r, 0], state[1] + logs[r, 1])
+                state -= state.max()
+        out = np.zeros((runs, width))
+        o = odds
+        for k in range(width):
+            step = np.logaddexp(o + t[1, 1], t[0, 1]) - np.logaddexp(o + t[1, 0], t[0, 0])
+            if k == 0:
+                step[0] = 0.0
+            o = grid[:, k] + step
+            out[:, k] = o
+        return out.ravel()[:n]
+
+    ahead = forward(e, t)
+    turned = forward(e[::-1], t.T)[::-1]
+    return ahead, turned - e
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
@@ -161,7 +211,35 @@ class Field:
         ahead, back = messages(e, Chains(lines), self.transitions)
         return sigmoid(ahead + back)
 
+    def long_score(self, data: bytes, run: int = SLICE) -> float:
+        """The score of one long text, whose lines' features are made in runs of about ``run`` bytes; what stays of a line is its score and length."""
+        scores, sizes, at = [], [], 0
+        while at <= len(data):
+            end = data.find(b"\n", min(len(data), at + run))
+            end = len(data) if end < 0 else end
+            # One line more on either side, so that every line of the run has its neighbours.
+            before = data.rfind(b"\n", 0, at - 1) + 1 if at else 0
+            after = data.find(b"\n", end + 1) if end < len(data) else -1
+            part = data[before : len(data) if after < 0 else after]
+            x, size, _ = line_features([part])
+            e = chained(x, np.array([len(x)]))
+            a, b = int(at > 0), len(x) - int(end < len(data))
+            e[:, -3:-1] = 0
+            if not at:
+                e[0, -3] = 1
+            if end == len(data):
+                e[-1, -2] = 1
+            scores.append(e[a:b] @ self.weights)
+            sizes.append(size[a:b])
+            at = end + 1
+        e, size = np.concatenate(scores), np.concatenate(sizes)
+        ahead, back = long_messages(e, self.transitions)
+        p = sigmoid(ahead + back)
+        return float((p * size).sum() / size.sum())
+
     def scores(self, texts: list[bytes]) -> list[float]:
+        if len(texts) == 1 and len(texts[0]) >= SLICE:
+            return [self.long_score(texts[0])]
         x, size, lines = line_features(texts)
         p = self.marginals(x, lines) * size
         first = np.cumsum(lines) - lines
@@ -211,8 +289,17 @@ def slices(texts: list[bytes]) -> Iterator[list[bytes]]:
         yield out
 
 
+def chains_of(data: bytes, lines: int) -> list[bytes]:
+    """The text, or of a text of more lines its first, middle and last ``lines``."""
+    n = data.count(b"\n") + 1
+    if n <= lines:
+        return [data]
+    found = data.split(b"\n")
+    return [b"\n".join(found[a : a + lines]) for a in sorted({0, (n - lines) // 2, n - lines})]
+
+
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_docs: int = TRAIN_DOCS, train_lines: int = TRAIN_LINES) -> Field:
-    """The field fitted to at most ``train_docs`` labelled rows, by hash of the id, of at most ``train_lines`` lines each.
+    """The field fitted to at most ``train_docs`` labelled rows, by hash of the id, in chains of at most ``train_lines`` lines.
 
     A document's label is every line's label. Rows without a label of 0 or 1 are left
     out; without any labelled row the field is neutral and every score is 0.5.
@@ -226,13 +313,14 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for batch in batches:
             out, good = [], []
             for data, y in zip(batch.column(0), batch.column(1).to_pylist()):
-                x, _, lines = line_features([data.as_py()])
-                if lines[0] <= train_lines:
+                for part in chains_of(data.as_py(), train_lines):
+                    x, _, _ = line_features([part])
                     out.append(x.astype(np.float32).tobytes())
                     good.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(good, pa.int32())], ["x", "good"])
 
-    found = rows.mapInArrow(run, "x binary, good int").limit(train_docs).collect()
+    # At most TRAIN_DOCS ids, and three chains of a row; ids that repeat are cut off at as many rows.
+    found = rows.mapInArrow(run, "x binary, good int").limit(3 * train_docs).collect()
     if not found:
         return Field(np.zeros(ALL), np.zeros((2, 2)))
     found.sort(key=lambda r: (bytes(r["x"]), r["good"]))

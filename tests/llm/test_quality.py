@@ -55,6 +55,20 @@ def test_marginals_against_all_labellings():
         at += n
 
 
+def test_long_chains_and_long_texts():
+    rng = np.random.default_rng(5)
+    field = Q.Field(rng.normal(size=Q.ALL), rng.normal(size=(2, 2)))
+    for n in (1, 2, 3, 10, 137):
+        e = rng.normal(size=n) * 3
+        for got, want in zip(Q.long_messages(e, field.transitions), Q.messages(e, Q.Chains(np.array([n])), field.transitions)):
+            assert got == pytest.approx(want)
+    lines = [" ".join("ab1#-"[k] * rng.integers(1, 6) for k in rng.integers(0, 5, rng.integers(0, 9))) for _ in range(300)]
+    for text in ("\n".join(lines), "\n".join(lines) + "\n", "\n" * 40, "one line " * 50, "\n" + lines[0]):
+        whole = field.scores([text.encode()])
+        assert field.long_score(text.encode(), 16) == pytest.approx(whole[0])
+    assert Q.chains_of(b"a\nb\nc\nd\ne", 2) == [b"a\nb", b"b\nc", b"d\ne"] and Q.chains_of(b"a\nb", 2) == [b"a\nb"]
+
+
 def test_held_out_accuracy_and_reruns(spark):
     rows, labels = corpus()
     table = with_clashes(spark.createDataFrame(rows, DOCS), "id", "data", "score", "good")
