@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer, pre_tokenizers
 
 LIMIT = 2048
+#: Below this character all versions of the Unicode tables agree on what is a letter, a number or white space.
+SETTLED = "\u0250"
 #: Chunks and words whose counts a worker keeps, and the longest that is kept.
 CACHE_WORDS, CACHE_CHARS = 500_000, 48
 
@@ -131,12 +133,12 @@ class PrefixCounter(dict):
 
     def spans(self, part: str) -> list[tuple[int, int]]:
         """Begin and end of each word of a normalized text."""
-        if part.isascii():
+        if max(part, default="") < SETTLED:
             return [m.span() for m in self.split.finditer(part)]
         return [span for _, span in self.splitter.pre_tokenize_str(part)]
 
     def words(self, part: str) -> list[str]:
-        return self.split.findall(part) if part.isascii() else [w for w, _ in self.splitter.pre_tokenize_str(part)]
+        return self.split.findall(part) if max(part, default="") < SETTLED else [w for w, _ in self.splitter.pre_tokenize_str(part)]
 
     def __missing__(self, chunk: str) -> int:
         count = sum(map(self.word_total, self.words(chunk)))
