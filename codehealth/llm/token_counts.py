@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from functools import cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,11 @@ SETTLED = "\u0250"
 CACHE_WORDS, CACHE_CHARS = 500_000, 48
 
 
+def settled(text: str) -> bool:
+    """Whether all of it is below SETTLED: lower case and words are then the library's, and nothing composes."""
+    return text.isascii() or max(text) < SETTLED
+
+
 @cache
 def byte_symbols() -> list[str]:
     """The printable symbol of each byte in byte-level vocabularies: printable Latin-1 stays, the rest follow from U+0100 on."""
@@ -58,8 +64,11 @@ class PrefixCounter(dict):
         #: Plain and word-final tokens as symbol strings without the mark, by the number of symbols.
         self.plain = {t for t in self.vocab if not t.endswith(self.end)}
         self.final = {t[: -len(self.end)] for t in self.vocab if t.endswith(self.end)}
-        self.longest = max(map(len, self.plain | self.final))
-        self.pairs: dict[tuple[str, str, bool], bool] = {}
+        #: What the tokens end in: themselves and all their tails.
+        self.plain_tails = {t[k:] for t in self.plain for k in range(len(t))}
+        self.final_tails = {t[k:] for t in self.final for k in range(len(t))}
+        #: Whether pairs of tokens fit, by whether the second is word-final.
+        self.pairs: tuple[dict[tuple[str, str], bool], dict[tuple[str, str], bool]] = ({}, {})
         self.counts: dict[str, int] = {}
 
     def merged(self, symbols: list[str]) -> list[str]:
@@ -82,39 +91,51 @@ class PrefixCounter(dict):
 
     def fit(self, left: str, right: str, final: bool) -> bool:
         """Whether ``left`` and ``right`` stay two tokens when their symbols are encoded together."""
-        key = (left, right, final)
-        found = self.pairs.get(key)
-        if found is None:
-            end = self.end if final else ""
-            got = self.merged([*left, *right[:-1], right[-1] + end])
-            found = got == [left, right + end]
-            if len(self.pairs) >= CACHE_WORDS:
-                self.pairs.clear()
-            self.pairs[key] = found
+        end = self.end if final else ""
+        found = self.merged([*left, *right[:-1], right[-1] + end]) == [left, right + end]
+        pairs = self.pairs[final]
+        if len(pairs) >= CACHE_WORDS:
+            pairs.clear()
+        pairs[left, right] = found
         return found
 
+    def ending(self, s: str, i: int, last: list[str], final: bool) -> int:
+        """Where the last token of the first ``i`` symbols begins, -1 if no token ends there; ``last``: the last token of each shorter prefix."""
+        tokens, tails, pairs = (self.final, self.final_tails, self.pairs[True]) if final else (self.plain, self.plain_tails, self.pairs[False])
+        # Leftwards as long as some token ends like this; then the longest tokens first.
+        j, begins = i - 1, []
+        while j >= 0 and (t := s[j:i]) in tails:
+            if t in tokens:
+                begins.append(j)
+            j -= 1
+        for j in reversed(begins):
+            if j == 0:
+                return j
+            if left := last[j]:
+                t = s[j:i]
+                found = pairs.get((left, t))
+                if found is None:
+                    found = self.fit(left, t, final)
+                if found:
+                    return j
+        return -1
+
     def word(self, text: str, whole: bool = False) -> list[int]:
         """For each number of leading characters 1..len, the tokens of that prefix as a word; only the last if ``whole``."""
-        s, ends = "", []
-        for c in text:
-            s += "".join(self.symbols[b] for b in c.encode())
-            ends.append(len(s))
+        if text.isascii() and text.isprintable():
+            s, ends = text, range(1, len(text) + 1)
+        else:
+            spelled = ["".join([self.symbols[b] for b in c.encode()]) for c in text]
+            s, ends = "".join(spelled), list(accumulate(map(len, spelled)))
+        if whole and s in self.final:
+            return [1]
         n = len(s)
         last, count = [""] * (n + 1), [0] * (n + 1)
         for i in range(1, n + 1 - whole):
-            for j in range(max(0, i - self.longest), i):
-                t = s[j:i]
-                if t in self.plain and (j == 0 or (last[j] and self.fit(last[j], t, False))):
-                    last[i], count[i] = t, count[j] + 1
-                    break
-        out = []
-        for i in ends[-1:] if whole else ends:
-            for j in range(max(0, i - self.longest), i):
-                t = s[j:i]
-                if t in self.final and (j == 0 or (last[j] and self.fit(last[j], t, True))):
-                    out.append(count[j] + 1)
-                    break
-        return out
+            j = self.ending(s, i, last, False)
+            if j >= 0:
+                last[i], count[i] = s[j:i], count[j] + 1
+        return [count[self.ending(s, i, last, True)] + 1 for i in (ends[-1:] if whole else ends)]
 
     def word_total(self, text: str) -> int:
         """The tokens of the whole word."""
@@ -129,16 +150,18 @@ class PrefixCounter(dict):
 
     def normalized(self, part: str) -> str:
         """The library's own normal form: its Unicode tables may be of another version than Python's."""
-        return part.lower() if part.isascii() else self.normalizer.normalize_str(part)
+        return part.lower() if settled(part) else self.normalizer.normalize_str(part)
 
     def spans(self, part: str) -> list[tuple[int, int]]:
         """Begin and end of each word of a normalized text."""
-        if max(part, default="") < SETTLED:
+        if settled(part):
             return [m.span() for m in self.split.finditer(part)]
         return [span for _, span in self.splitter.pre_tokenize_str(part)]
 
     def words(self, part: str) -> list[str]:
-        return self.split.findall(part) if max(part, default="") < SETTLED else [w for w, _ in self.splitter.pre_tokenize_str(part)]
+        if part.isascii() and part.isalpha():
+            return [part]
+        return self.split.findall(part) if settled(part) else [w for w, _ in self.splitter.pre_tokenize_str(part)]
 
     def __missing__(self, chunk: str) -> int:
         count = sum(map(self.word_total, self.words(chunk)))

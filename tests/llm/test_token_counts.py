@@ -59,6 +59,17 @@ def test_every_letter_beyond_ascii():
         raise AssertionError([hex(ord(x[1])) for x in text.split(" ") if len(x) > 1 and TABLE.total(x) != library(x)])
 
 
+def test_every_settled_letter():
+    for c in range(0x1, 0x260):
+        for text in (f"a{chr(c)}b1", f"A{chr(c)} {chr(c)}{chr(c)}z", f"{chr(c)}'S"):
+            assert TABLE.total(text) == library(text), (hex(c), text)
+
+
+def test_long_words_of_few_letters():
+    for text in ("ab" * 700, "the" * 500 + "é", "0x" + "deadBEEF" * 90, "-=" * 400):
+        assert TABLE.total(text) == library(text)
+
+
 def test_budgets_need_no_encoding():
     counts = TABLE.prefixes("the quick brown fox jumps")
     assert truncated(counts, 0) == 0
