@@ -181,7 +181,8 @@ def planned(rows: DataFrame, weights: tuple, cap: int) -> DataFrame:
 
 def chained(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """``rows`` (id, source) with their source's plan and the number of their rounding chain."""
-    joined = rows.join(plan, rows["source"].eqNullSafe(plan["s"]), "left").drop("s")
+    # At most MAX_VALUES rows; dealing the rows by source instead would bring a hot source to one task.
+    joined = rows.join(F.broadcast(plan), rows["source"].eqNullSafe(plan["s"]), "left").drop("s")
     return joined.withColumn("chain", F.pmod(F.xxhash64("id"), F.col("chains"))).drop("chains")
 
 
