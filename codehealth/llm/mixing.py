@@ -165,8 +165,8 @@ def words_of(text_col: str) -> Column:
 
 
 def planned(rows: DataFrame, weights: tuple, cap: int) -> DataFrame:
-    """(s, source_size, target, rate, chains) of each source of ``rows`` (source, size)."""
-    rows = cut(rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")))
+    """(s, source_size, target, rate, chains) of each source of ``rows`` (source, size, n), ``n`` documents each."""
+    rows = cut(rows.groupBy("source", "size").agg(F.sum("n").alias("n")))
     stats = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("n"))
     found = {r["source"]: (r["source_size"], r["n"]) for r in stats.limit(MAX_VALUES + 1).collect()}
     if len(found) > MAX_VALUES:
@@ -195,7 +195,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     columns are ignored.
     """
     rows = cut(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words_of(text_col).alias("size")))
-    joined = chained(rows, planned(rows, weights, cap))
+    joined = chained(rows, planned(rows.withColumn("n", F.lit(1).cast("long")), weights, cap))
     return copies(joined, ["source", "chain"], cap).select(
         F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "rate"
     )
@@ -204,11 +204,19 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def mixed_docs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, cap: int = CAP) -> DataFrame:
     """``docs`` that the mix takes at least once, with ``mix_copies`` and ``mix_taken`` (with underscores before, if ``docs`` has them).
 
-    The rows themselves go through the rounding chains, so rows that repeat an id keep
-    copies of their own.
+    Texts stay out of the rounding chains: a hash stands for them there, and the rows
+    taken are found again by id, source and hash. Rows that are equal in these are taken
+    equally often.
     """
     names = [unused(docs.columns, n) for n in ("mix_copies", "mix_taken")]
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words_of(text_col).alias("size"), F.struct(*docs.columns).alias("doc"))
-    plan = planned(rows.select("source", "size"), weights, cap)
-    found = copies(chained(rows, plan), ["source", "chain"], cap).where("copies > 0")
-    return found.select(*[F.col("doc")[c].alias(c) for c in docs.columns], F.col("copies").alias(names[0]), (F.col("size") * F.col("copies")).alias(names[1]))
+    own = unused(docs.columns, "__key")
+    key = F.struct(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("hash"))
+    rows = cut(docs.select(key.alias("id"), words_of(text_col).alias("words")).groupBy("id").agg(F.max("words").alias("words"), F.count(F.lit(1)).alias("n")))
+    rows = rows.withColumn("source", F.col("id.source"))
+    plan = planned(rows.select("source", F.col("words").alias("size"), "n"), weights, cap)
+    found = copies(chained(rows.withColumn("size", F.col("words") * F.col("n")), plan), ["source", "chain"], cap).where("copies > 0")
+    taken = found.select(F.col("id").alias(f"{own}_taken"), F.col("copies").alias(names[0]), (F.col("words") * F.col("copies")).alias(names[1]))
+    same = [F.col(f"{own}.{c}").eqNullSafe(F.col(f"{own}_taken.{c}")) for c in ("id", "source", "hash")]
+    # The join is the same at every size.
+    joined = docs.withColumn(own, key).join(taken.hint("merge"), same)
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], *names)

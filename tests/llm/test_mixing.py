@@ -70,3 +70,22 @@ def test_edge_cases(spark):
     table = with_clashes(spark.createDataFrame(corpus(50), DOCS), "mix_copies")
     kept = mixed_docs(table)
     assert kept.columns == [*table.columns, "_mix_copies", "mix_taken"] and all(r["_mix_copies"] > 0 for r in kept.collect())
+
+
+def test_rows_taken_meet_the_targets_without_their_texts(spark):
+    rows = corpus(400) + [(7, "same words again", "en", "a", 0)] * 5 + [(7, "other words", "en", "a", 0), (None, "no id", "en", None, 0), (None, None, None, None, None)]
+    table = spark.createDataFrame(rows, DOCS)
+    got = mixed_docs(table).collect()
+    size = lambda t: len((t or "").split())
+    assert all(r["mix_taken"] == size(r["text"]) * r["mix_copies"] and 1 <= r["mix_copies"] <= 3 for r in got)
+    sources = sorted({r[3] for r in rows if r[3] is not None}) + [None]
+    sizes = {s: sum(size(r[1]) for r in rows if r[3] == s) for s in sources}
+    targets = capped_shares(sizes, {s: (5.0, 2.0, 1.0)[k % 3] for k, s in enumerate(sources)})
+    longest = max(size(r[1]) for r in rows)
+    for s in sources:
+        assert abs(sum(r["mix_taken"] for r in got if r["source"] == s) - targets[s]) <= longest
+    again = sum(r["text"] == "same words again" for r in got)
+    assert again in (0, 5) and len({r["mix_copies"] for r in got if r["text"] == "same words again"}) <= 1
+    left = [tuple(r)[:5] for r in got]
+    assert all(left.count(r) <= rows.count(r) for r in left)
+    assert mixed_docs(table.limit(0)).collect() == []
