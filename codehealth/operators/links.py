@@ -77,7 +77,7 @@ def enclosing(points: DataFrame, intervals: DataFrame, keys: list[str], smallest
     The smallest interval counts, or the one of least place; equal sizes go by place. All
     ends are whole numbers. Each interval is taken apart into the largest aligned blocks
     that it covers, at most two of each power of two; a block keeps its best interval
-    only, and a point looks up the one block of each size that it is in.
+    only, and each different point looks up the one block of each size that it is in.
     """
     low, high = F.col("low").cast("long"), F.col("high").cast("long")
     rank = F.struct((high - low).alias("size"), "place") if smallest else F.struct("place")
@@ -89,11 +89,12 @@ def enclosing(points: DataFrame, intervals: DataFrame, keys: list[str], smallest
     blocks = rows.withColumn("k", F.explode(levels)).withColumn("__block", F.explode(F.expr(ends)))
     best = blocks.groupBy(*keys, "k", "__block").agg(F.min("__rank").alias("__best"))
     top = intervals.agg(F.max(F.ceil(F.log2(high - low + 2)))).first()[0]
-    numbered = points.withColumn("__row", F.monotonically_increasing_id())
-    asked = numbered.select("__row", *keys, F.col("point").cast("long").alias("__point"), F.explode(F.sequence(F.lit(0), F.lit(int(top or 0)))).alias("k"))
-    asked = asked.withColumn("__block", F.expr("shiftright(__point, k)"))
-    found = asked.join(best, [*keys, "k", "__block"]).groupBy("__row").agg(F.min("__best")["place"].alias("inside"))
-    return numbered.join(found, "__row", "left").drop("__row")
+    asked = points.select(*keys, F.col("point").cast("long").alias("__point")).distinct()
+    asked = asked.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(int(top or 0))))).withColumn("__block", F.expr("shiftright(__point, k)"))
+    # Merged, as what looks small once compressed can be more than the driver holds to broadcast it.
+    found = asked.join(best.hint("merge"), [*keys, "k", "__block"]).groupBy(*keys, "__point").agg(F.min("__best")["place"].alias("inside"))
+    placed = points.withColumn("__point", F.col("point").cast("long")).join(found.hint("merge"), [*keys, "__point"], "left")
+    return placed.select(*points.columns, "inside")
 
 
 def overlapping(intervals: DataFrame, keys: list[str]) -> DataFrame:

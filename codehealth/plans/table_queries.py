@@ -454,8 +454,9 @@ def intervals(spark: SparkSession, d: str) -> DataFrame:
 def interval_enclosing(spark: SparkSession, d: str) -> DataFrame:
     points = t(spark, d, "part").select("p_partkey", "p_brand", (F.col("p_partkey") * 7 % 600).alias("point"))
     spans = intervals(spark, d)
-    inner = links.enclosing(points, spans, ["p_brand"], True).select("p_partkey", F.coalesce("inside", F.lit(-1)).cast("long").alias("smallest"))
-    return inner.join(links.enclosing(points, spans, ["p_brand"], False).select("p_partkey", F.coalesce("inside", F.lit(-1)).cast("long").alias("first")), "p_partkey")
+    for name, smallest in (("smallest", True), ("first", False)):
+        points = links.enclosing(points, spans, ["p_brand"], smallest).withColumn(name, F.coalesce("inside", F.lit(-1)).cast("long")).drop("inside")
+    return points.select("p_partkey", "smallest", "first")
 
 
 @query(f"WITH {_SPANS} SELECT place, EXISTS (SELECT 1 FROM iv b WHERE b.p_brand = a.p_brand AND b.place <> a.place AND b.low <= a.high AND a.low <= b.high) AS overlaps FROM iv a")

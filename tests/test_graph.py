@@ -214,6 +214,15 @@ def test_intervals_around_points_against_brute_force(spark):
         assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_points_and_blocks_are_not_broadcast(spark):
+    spans = spark.range(50).selectExpr("'a' AS key", "id AS place", "id AS low", "id + 3 AS high")
+    points = spark.range(5000).selectExpr("'a' AS key", "id % 60 AS point")
+    found = links.enclosing(points, spans, ["key"], True)
+    assert found.count() == 5000
+    found.collect()
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_places_in_a_global_order(spark):
     rng = random.Random(6)
     values = [rng.randrange(10_000) for _ in range(500)]
