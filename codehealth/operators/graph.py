@@ -1,7 +1,7 @@
 """Graph measures over node and edge tables: modularity, cycles, longest paths, reachability.
 
-Loops run on Spark for as long as a graph has more than TASK_EDGES edges; what is left of
-it then is solved in one task, whose memory that number bounds.
+A graph of at most TASK_EDGES edges is solved in one task, whose memory that number bounds.
+A larger one is dealt to tasks of so many edges each, and what they find is put together.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codehealth.session import cut
+from codehealth.session import cut, kept
 
 ROUNDS = 10_000
 #: Hops of one job; each refers to the one before once, so the plan grows with their number only.
@@ -24,6 +24,10 @@ HOPS = 4
 PART_EDGES = 200_000
 #: Edges that one task takes.
 TASK_EDGES = 2_000_000
+#: Rounds after which blocks that still change each other are dealt anew.
+DEAL_ROUNDS = 8
+#: Part of the edges that contraction must take away to go on.
+SHRINK = 0.2
 
 
 class GraphError(ValueError):
@@ -95,15 +99,17 @@ def entries(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, task_edges: int | None = None) -> DataFrame:
     """(id, scc) of the nodes of strongly connected components of two nodes or more; the largest id names one.
 
-    Each round colours nodes with the largest id that reaches them; the nodes of a colour
-    that reach its id are one component. They leave, as do edges between colours and
-    nodes without edges in both directions, and the rest goes on until one task takes it.
+    Tasks contract the components of the edges that each of them has until one task takes
+    what is left. Where that no longer helps, a round colours nodes with the largest id that
+    reaches them; the nodes of a colour that reach its id are one component. They leave, as
+    do edges between colours and nodes without edges in both directions.
     """
     limit = TASK_EDGES if task_edges is None else task_edges
     kind = edges.schema["src"].dataType.simpleString()
-    left = cut(edges.select("src", "dst").where("src <> dst").distinct())
+    left = kept(edges.select("src", "dst").where("src <> dst").distinct(), "edges")
     found = None
     for _ in range(ROUNDS):
+        left = contracted(left, limit)
         if left.count() <= limit:
             rest = in_one_task(left, strong_components, f"id {kind}, scc {kind}")
             return cut(rest if found is None else found.unionAll(rest))
@@ -122,24 +128,56 @@ def components(edges: DataFrame, task_edges: int | None = None) -> DataFrame:
     return cut(found) if found is not None else edges.sparkSession.createDataFrame([], f"id {kind}, scc {kind}")
 
 
+def contracted(edges: DataFrame, limit: int) -> DataFrame:
+    """Distinct edges of the same strongly connected components as ``edges``, ``limit`` at most unless too few can go.
+
+    Each task has about ``limit`` of the edges. A component of these becomes one cycle
+    through its nodes, and edges between components lead from one's last node to the other's.
+    So whoever reaches whom stays the same. Edges are dealt by both ends, which leaves a
+    sample of all to each task, or by ranges of their start, which keeps what is close together.
+    """
+    kind = edges.schema["src"].dataType.simpleString()
+    n, vain = edges.count(), 0
+    for k in range(ROUNDS):
+        if n <= limit or vain == 2:
+            break
+        parts = 1 + n // max(limit, 1)
+        dealt_ = edges.repartitionByRange(parts, "src", "dst") if k % 2 else edges.repartition(parts, "src", "dst")
+        small = kept(dealt_.mapInArrow(one_block(contract, ["src", "dst"]), f"src {kind}, dst {kind}").distinct(), "edges")
+        before, n = n, small.count()
+        vain = vain + 1 if n > before * (1 - SHRINK) else 0
+        if n < before:
+            edges = small
+    return edges
+
+
 def in_one_task(edges: DataFrame, solve: Callable, schema: str) -> DataFrame:
     """What ``solve(ids, src, dst)`` says of ``edges`` (src, dst): the nodes in ascending order and the edges as places among them."""
 
+    names = [c.split()[0] for c in schema.split(", ")]
+    return edges.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst").coalesce(1).mapInArrow(one_block(solve, names), schema)
+
+
+def one_block(solve: Callable, names: list[str]) -> Callable:
+    """For ``mapInArrow``: ``solve`` on all edges (src, dst) of a partition, its columns by ``names``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [b for b in batches if b.num_rows]
-        if not parts:
-            return
-        table = pa.Table.from_batches(parts)
-        both = pa.chunked_array([*table["src"].chunks, *table["dst"].chunks]).dictionary_encode().combine_chunks()
-        order = pc.sort_indices(both.dictionary).to_numpy()
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        ends = place[both.indices.to_numpy()]
-        columns = solve(both.dictionary.take(pa.array(order)), ends[: len(table)], ends[len(table) :])
-        yield from pa.table(list(columns), names=names).to_batches(max_chunksize=100_000)
+        if parts:
+            yield from pa.table(list(solve(*numbered(pa.Table.from_batches(parts)))), names=names).to_batches(max_chunksize=100_000)
+
+    return run
 
-    names = [c.split()[0] for c in schema.split(", ")]
-    return edges.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst").coalesce(1).mapInArrow(run, schema)
+
+def numbered(table: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The nodes of the edges (src, dst) in ascending order, and the edges as places among them."""
+    both = pa.chunked_array([*table["src"].chunks, *table["dst"].chunks], table.schema.field("src").type).dictionary_encode().combine_chunks()
+    both = both.chunk(0) if isinstance(both, pa.ChunkedArray) else both
+    order = pc.sort_indices(both.dictionary).to_numpy()
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    ends = place[both.indices.to_numpy()]
+    return both.dictionary.take(pa.array(order)), ends[: len(table)], ends[len(table) :]
 
 
 def rows_of(n: int, src: np.ndarray, dst: np.ndarray) -> tuple[list[int], list[int]]:
@@ -150,8 +188,29 @@ def rows_of(n: int, src: np.ndarray, dst: np.ndarray) -> tuple[list[int], list[i
 
 
 def strong_components(ids: pa.Array, src: np.ndarray, dst: np.ndarray) -> tuple:
-    """Each node of a component of two nodes or more, and the component's last node; one depth-first search without recursion."""
-    n = len(ids)
+    """Each node of a component of two nodes or more, and the component's last node."""
+    scc = last_nodes(len(ids), src, dst)
+    inside = np.flatnonzero(scc >= 0)
+    return ids.take(pa.array(inside)), ids.take(pa.array(scc[inside]))
+
+
+def contract(ids: pa.Array, src: np.ndarray, dst: np.ndarray) -> tuple:
+    """Edges by which the same nodes reach each other: a cycle through each component, and one edge between two of them."""
+    scc = last_nodes(len(ids), src, dst)
+    inside = np.flatnonzero(scc >= 0)
+    inside = inside[np.argsort(scc[inside], kind="stable")]
+    # The nodes of a component stand together; each leads to the next one, the last one to the first.
+    starts = np.flatnonzero(np.diff(scc[inside], prepend=-1))
+    follow = np.roll(inside, -1)
+    follow[np.append(starts[1:], len(inside))[: len(starts)] - 1] = inside[starts]
+    home = np.where(scc >= 0, scc, np.arange(len(ids)))
+    a, b = home[src], home[dst]
+    between = np.unique(a[a != b] * len(ids) + b[a != b])
+    return ids.take(pa.array(np.append(inside, between // len(ids)))), ids.take(pa.array(np.append(follow, between % len(ids))))
+
+
+def last_nodes(n: int, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
+    """For each node the last one of its component, -1 if it is alone; one depth-first search without recursion."""
     begins, targets = rows_of(n, src, dst)
     number, low, at = [0] * n, [0] * n, begins[:-1]
     done, stack, scc = [False] * n, [], np.full(n, -1)
@@ -186,30 +245,29 @@ def strong_components(ids: pa.Array, src: np.ndarray, dst: np.ndarray) -> tuple:
                     done[own[-1]] = True
                 if len(own) > 1:
                     scc[own] = max(own)
-    inside = np.flatnonzero(scc >= 0)
-    return ids.take(pa.array(inside)), ids.take(pa.array(scc[inside]))
+    return scc
 
 
-def layer_heights(ids: pa.Array, src: np.ndarray, dst: np.ndarray) -> tuple:
-    """Each node of an acyclic graph and the edges of the longest path from it: sinks leave layer by layer."""
+def path_heights(ids: pa.Array, src: np.ndarray, dst: np.ndarray, known: np.ndarray | None = None) -> tuple:
+    """Each node of an acyclic graph and the edges of the longest path from it, ``known`` (0) being the least; sinks leave first."""
     n = len(ids)
     begins, sources = rows_of(n, dst, src)
     open_ = np.bincount(src, minlength=n).tolist()
-    height = np.zeros(n, np.int64)
-    layer, k, seen = [v for v in range(n) if not open_[v]], 0, 0
-    while layer:
-        seen += len(layer)
-        height[layer] = k
-        above = []
-        for v in layer:
-            for u in sources[begins[v] : begins[v + 1]]:
-                open_[u] -= 1
-                if not open_[u]:
-                    above.append(u)
-        layer, k = above, k + 1
+    height = [0] * n if known is None else known.tolist()
+    todo, seen = [v for v in range(n) if not open_[v]], 0
+    while todo:
+        v = todo.pop()
+        seen += 1
+        above = height[v] + 1
+        for u in sources[begins[v] : begins[v + 1]]:
+            if height[u] < above:
+                height[u] = above
+            open_[u] -= 1
+            if not open_[u]:
+                todo.append(u)
     if seen < n:
         raise RuntimeError("the graph has a cycle")
-    return ids, pa.array(height)
+    return ids, pa.array(height, pa.int64())
 
 
 def inner(edges: DataFrame) -> DataFrame:
@@ -293,30 +351,59 @@ def reached(seeds: DataFrame, edges: DataFrame, keys: list[str] | None = None) -
 def heights(edges: DataFrame, task_edges: int | None = None) -> DataFrame:
     """(id, height): the edges of the longest path from each node of an acyclic graph.
 
-    The nodes that no edge leaves are a layer, without them the next ones, and so on; once
-    few edges are left, one task finds the heights above the layers that are gone.
+    More edges than one task takes are dealt to blocks by ranges of their start. A task
+    finds the heights in its block, given the least heights that are known of its nodes.
+    Blocks for whose nodes others have found more start again, until there are none.
     """
     limit = TASK_EDGES if task_edges is None else task_edges
     kind = edges.schema["src"].dataType.simpleString()
-    left = cut(edges.select("src", "dst").distinct())
-    nodes, out = cut(vertices(left)), None
-    for k in range(ROUNDS):
-        if left.count() <= limit:
-            rest = in_one_task(left, layer_heights, f"id {kind}, above long").select("id", (F.col("above") + k).cast("int").alias("height"))
-            # Nodes without edges are the last layer that left, with what is above it.
-            lone = nodes.join(vertices(left), "id", "left_anti").select("id", F.lit(k).alias("height"))
-            return cut(rest.unionAll(lone) if out is None else out.unionAll(rest).unionAll(lone))
-        inner_ = left.select(F.col("src").alias("id")).distinct()
-        layer = cut(nodes.join(inner_, "id", "left_anti"))
-        if layer.isEmpty():
-            raise RuntimeError("the graph has a cycle")
-        own = layer.select("id", F.lit(k).alias("height"))
-        out = own if out is None else out.unionAll(own)
-        nodes = cut(nodes.join(layer, "id", "left_anti"))
-        left = cut(left.join(layer.select(F.col("id").alias("dst")), "dst", "left_anti").select("src", "dst"))
+    left = kept(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct(), "edges")
+    n = left.count()
+    if n <= limit:
+        return cut(in_one_task(left, path_heights, f"id {kind}, height long").select("id", F.col("height").cast("int").alias("height")))
+    best, schema = None, f"block int, id {kind}, height long"
+    for _ in range(ROUNDS):
+        blocks = in_blocks(left, best, 1 + n // max(limit, 1))
+        todo, ask, own = blocks, edges.sparkSession.createDataFrame([], schema), None
+        if best is not None:
+            seats = blocks.select("block", F.col("src").alias("id")).union(blocks.select("block", "dst")).distinct()
+            ask = seats.join(best, "id").select("block", "id", "height")
+        for _ in range(DEAL_ROUNDS):
+            new = todo.groupBy("block").cogroup(ask.groupBy("block")).applyInArrow(block_heights, schema)
+            own = cut(new if own is None else new.unionAll(own.join(F.broadcast(stale), "block", "left_anti").select("block", "id", "height")))
+            best = cut(own.groupBy("id").agg(F.max("height").alias("height")))
+            most, nodes = best.agg(F.max("height"), F.count(F.lit(1))).first()
+            if most >= nodes:
+                raise RuntimeError("the graph has a cycle")
+            both = own.join(best.withColumnRenamed("height", "best"), "id")
+            stale = cut(both.where("best > height").select("block").distinct())
+            if stale.isEmpty():
+                return best.select("id", F.col("height").cast("int").alias("height"))
+            ask = both.join(F.broadcast(stale), "block", "left_semi").select("block", "id", F.col("best").alias("height"))
+            todo = blocks.join(F.broadcast(stale), "block", "left_semi")
     raise RuntimeError("heights did not settle")
 
 
+def in_blocks(edges: DataFrame, height: DataFrame | None, parts: int) -> DataFrame:
+    """``edges`` (src, dst) with their ``block``: ranges of the start, or of its ``height`` (id, height) so far, in which paths rarely leave a block."""
+    if height is None:
+        dealt_ = edges.repartitionByRange(parts, "src", "dst")
+    else:
+        dealt_ = edges.join(height.withColumnRenamed("id", "src"), "src").repartitionByRange(parts, "height", "src", "dst").select("src", "dst")
+    return kept(dealt_.withColumn("block", F.spark_partition_id()), "blocks")
+
+
+def block_heights(edges: pa.Table, known: pa.Table) -> pa.Table:
+    """(block, id, height) of the nodes of one block's edges (src, dst, block), no less than the ``known`` (id, height)."""
+    ids, src, dst = numbered(edges)
+    least = np.zeros(len(ids), np.int64)
+    if len(known):
+        place = pc.index_in(known["id"], value_set=ids).to_numpy()
+        least[place] = known["height"].to_numpy()
+    ids, height = path_heights(ids, src, dst, least)
+    return pa.table({"block": pa.array(np.full(len(ids), edges["block"][0].as_py(), np.int32)), "id": ids, "height": height})
+
+
 def longest_path(starts: DataFrame, edges: DataFrame, acyclic: bool) -> tuple[int, list]:
     """(edges, nodes in order) of the longest path from ``starts`` (id, ord); ``edges``: src, dst, seq.
 

@@ -5,6 +5,7 @@ import pytest
 from codehealth.operators import graph as G
 from codehealth.operators import graph, links, resolve, stats
 from codehealth.operators.ordering import placed
+from codehealth.session import cut
 
 
 def frame(spark, edges):
@@ -188,6 +189,53 @@ def test_components_and_heights_in_and_out_of_one_task(spark, task_edges):
         assert {r["id"]: r["height"] for r in got} == {v: height[v] for v in ends} and len(got) == len(ends)
 
 
+def layered(spark):
+    """60 copies of a dense graph of 30 nodes, no task taking more than 1000 edges."""
+    rng = random.Random(8)
+    one = [(a, b) for a in range(30) for b in range(a + 1, 30) if rng.random() < 0.8]
+    return one, spark.createDataFrame([(a + 30 * k, b + 30 * k) for k in range(60) for a, b in one], "src long, dst long")
+
+
+def test_heights_of_many_layers_take_few_rounds(spark, monkeypatch):
+    one, table = layered(spark)
+    height = {}
+    for v in reversed(range(30)):
+        height[v] = max((height[b] + 1 for a, b in one if a == v), default=0)
+    rounds = []
+    monkeypatch.setattr(graph, "cut", lambda df: rounds.append(1) or cut(df))
+    got = {r["id"]: r["height"] for r in graph.heights(table, 1000).collect()}
+    assert got == {v + 30 * k: height[v] for k in range(60) for v in range(30)} and max(height.values()) > 15
+    assert len(rounds) < 20
+
+
+def test_components_of_dense_graphs_are_contracted(spark, monkeypatch):
+    _, table = layered(spark)
+    ring = table.unionAll(table.selectExpr("dst", "src"))
+    monkeypatch.setattr(graph, "coloured", lambda edges: pytest.fail("a round of colours"))
+    got = {r["id"]: r["scc"] for r in graph.components(ring, 3000).collect()}
+    assert got == {v + 30 * k: 30 * k + 29 for k in range(60) for v in range(30)}
+
+
+@pytest.mark.parametrize("n, m, limit", [(40, 60, 15), (60, 200, 25), (12, 40, 7)])
+def test_blocks_of_random_graphs(spark, n, m, limit):
+    rng = random.Random(n)
+    edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(m)]
+    names = spark.createDataFrame([(f"n{a:03}", f"n{b:03}") for a, b in edges], "src string, dst string")
+    assert {r["id"]: r["scc"] for r in graph.components(names, limit).collect()} == {f"n{a:03}": f"n{b:03}" for a, b in brute_components(edges).items()}
+    order = rng.sample(range(n), n)
+    down = {(a, b) for a, b in edges if order[a] < order[b]}
+    height = {}
+    for v in sorted(range(n), key=lambda v: -order[v]):
+        height[v] = max((height[b] + 1 for a, b in down if a == v), default=0)
+    got = {r["id"]: r["height"] for r in graph.heights(spark.createDataFrame(list(down), "src long, dst long"), limit).collect()}
+    assert got == {v: height[v] for e in down for v in e}
+
+
+def test_cycles_across_blocks_have_no_heights(spark):
+    with pytest.raises(Exception, match="cycle"):
+        graph.heights(spark.range(20).selectExpr("id AS src", "(id + 1) % 20 AS dst"), 5).collect()
+
+
 def test_long_chains(spark):
     n = 100_000
     chain = spark.range(n).selectExpr("id AS src", "id + 1 AS dst", "id AS seq")
