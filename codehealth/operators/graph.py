@@ -413,6 +413,7 @@ def longest_path(starts: DataFrame, edges: DataFrame, acyclic: bool) -> tuple[in
     and starts, so one task does it.
     """
     if acyclic:
+        edges = kept(edges.select("src", "dst", "seq"), "edges")
         height = heights(edges.where("src <> dst"))
         best = starts.join(height, "id", "left").select("id", "ord", F.coalesce("height", F.lit(0)).alias("height")).orderBy(F.col("height").desc(), "ord").first()
         if best is None:

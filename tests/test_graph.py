@@ -208,6 +208,17 @@ def test_heights_of_many_layers_take_few_rounds(spark, monkeypatch):
     assert len(rounds) < 20
 
 
+def test_longest_path_of_many_layers_takes_few_rounds(spark, monkeypatch):
+    one, table = layered(spark)
+    begin, edges = starts(spark, range(1800)), table.withColumn("seq", table["dst"])
+    want = graph.longest_path(begin, edges, True)
+    rounds = []
+    monkeypatch.setattr(graph, "TASK_EDGES", 1000)
+    monkeypatch.setattr(graph, "cut", lambda df: rounds.append(1) or cut(df))
+    assert graph.longest_path(begin, edges, True) == want and want[0] > 15
+    assert len(rounds) < 30
+
+
 def test_components_of_dense_graphs_are_contracted(spark, monkeypatch):
     _, table = layered(spark)
     ring = table.unionAll(table.selectExpr("dst", "src"))
