@@ -5,6 +5,7 @@ import pytest
 from codehealth.operators import graph as G
 from codehealth.operators import graph, links, resolve, stats
 from codehealth.operators.ordering import placed
+from codehealth.plans import table_queries
 from codehealth.session import cut
 
 
@@ -219,6 +220,16 @@ def test_longest_path_of_many_layers_takes_few_rounds(spark, monkeypatch):
     assert len(rounds) < 30
 
 
+def test_depth_of_many_layers_takes_few_rounds(spark, monkeypatch):
+    folder = "/root/testdata/sf0.01"
+    want = table_queries.max_depth(spark, folder).first()
+    rounds = []
+    monkeypatch.setattr(graph, "TASK_EDGES", 1000)
+    monkeypatch.setattr(graph, "cut", lambda df: rounds.append(1) or cut(df))
+    assert table_queries.max_depth(spark, folder).first() == want and want["max_depth"] > 40
+    assert len(rounds) < 40
+
+
 def test_components_of_dense_graphs_are_contracted(spark, monkeypatch):
     _, table = layered(spark)
     ring = table.unionAll(table.selectExpr("dst", "src"))
