@@ -15,6 +15,7 @@ from codehealth.functions.globs import glob_regex
 from codehealth.operators import deadcode, graph, links, resolve, rules, stats
 from codehealth.operators.ordering import placed
 from codehealth.operators.stage import line_counts
+from codehealth.session import cut, kept
 from codehealth.sources import languages
 from codehealth.sources.rulefile import Boundary, Layer, Rules, parse_rules
 from codehealth.sources.tree import skip_reason
@@ -201,7 +202,11 @@ def scc_members(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{SCC_SQL} SELECT count(DISTINCT scc) AS cycles FROM scc")
 def cycle_count(spark: SparkSession, d: str) -> DataFrame:
-    return graph.components(hops(spark, d)).agg(F.count_distinct("scc").alias("cycles"))
+    return cycles_of(hops(spark, d))
+
+
+def cycles_of(edges: DataFrame) -> DataFrame:
+    return graph.components(edges).agg(F.count_distinct("scc").alias("cycles"))
 
 
 def upward(spark: SparkSession, d: str) -> DataFrame:
@@ -320,14 +325,16 @@ def root_cause_scores(spark: SparkSession, d: str) -> DataFrame:
     return out.select("id", *[F.round(c, 6).alias(c) for c in (*stats.CAUSES, "quality_signal")], "bottleneck", stats.score_int(F.col("equality")).alias("equality_int"))
 
 
-def health(spark: SparkSession, d: str) -> DataFrame:
-    """The supplier graph's health: one row with all measures, scores and the bottleneck."""
-    q = graph.modularity(suppliers(spark, d), hops(spark, d)).first()["q"]
-    cycles = cycle_count(spark, d).first()["cycles"]
-    depth = max_depth(spark, d).first()["max_depth"] or 0
+def health(spark: SparkSession, d: str, edges: DataFrame | None = None) -> DataFrame:
+    """The supplier graph's health: one row with all measures, scores and the bottleneck. ``edges``: ``hops``, if there already."""
+    edges = kept(hops(spark, d), "hops") if edges is None else edges
+    q = graph.modularity(suppliers(spark, d), edges).first()["q"]
+    links_ = kept(edges.distinct(), "links")
+    cycles = cycles_of(links_).first()["cycles"]
+    depth = graph.heights(links_.where("src < dst")).agg(F.max("height")).first()[0] or 0
     size = stats.gini(t(spark, d, "documents"), "n_chars").first()["gini"]
-    ratio = deadcode.redundancy(flagged(spark, d)).first()["ratio"]
-    raw = spark.createDataFrame([(q, cycles, depth, size, ratio)], "q double, cycles long, max_depth long, gini double, ratio double")
+    waste = deadcode.redundancy(flagged(spark, d)).select("ratio", "dead_functions", "duplicate_functions").first()
+    raw = spark.createDataFrame([(q, cycles, depth, size, *waste)], "q double, cycles long, max_depth long, gini double, ratio double, dead_functions long, duplicate_functions long")
     return stats.scored(raw)
 
 
@@ -472,10 +479,10 @@ _NATION_EDGES = f"""{HOPS_SQL}, home AS (SELECT s_suppkey, r_name || '/' || n_na
     e AS (SELECT DISTINCT a.path AS f, b.path AS t FROM hops JOIN home a ON a.s_suppkey = src JOIN home b ON b.s_suppkey = dst)"""
 
 
-def nation_edges(spark: SparkSession, d: str) -> DataFrame:
+def nation_edges(spark: SparkSession, d: str, edges: DataFrame | None = None) -> DataFrame:
     place = t(spark, d, "nation").join(t(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     home = t(spark, d, "supplier").join(place, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.concat("r_name", F.lit("/"), "n_name", F.lit(".c")).alias("path"))
-    e = hops(spark, d).join(home.select(F.col("s_suppkey").alias("src"), F.col("path").alias("from")), "src")
+    e = (hops(spark, d) if edges is None else edges).join(home.select(F.col("s_suppkey").alias("src"), F.col("path").alias("from")), "src")
     return e.join(home.select(F.col("s_suppkey").alias("dst"), F.col("path").alias("to")), "dst").select("from", "to").distinct()
 
 
@@ -524,9 +531,13 @@ def glob_matches(spark: SparkSession, d: str) -> DataFrame:
 CHECKED = Rules({"min_quality": 0.9, "min_acyclicity": 0.99, "min_equality": 0.01}, {"max_cycles": 0, "max_file_lines": 100, "max_fn_lines": 10_000_000, "max_cyclomatic": 47}, LAYERS, BOUNDARIES)
 
 
-def checked_health(spark: SparkSession, d: str) -> DataFrame:
-    lines = t(spark, d, "documents").agg(F.max("n_chars")).first()[0]
-    return health(spark, d).withColumn("cycle_count", F.col("cycles")).withColumn("max_file_lines", F.lit(lines)).withColumn("max_fn_lines", F.lit(50))
+def checked_health(spark: SparkSession, d: str, edges: DataFrame | None = None) -> DataFrame:
+    return health(spark, d, edges).withColumn("cycle_count", F.col("cycles")).withColumns(largest(spark, d))
+
+
+def largest(spark: SparkSession, d: str) -> dict:
+    """The longest document and the longest function."""
+    return {"max_file_lines": F.lit(t(spark, d, "documents").agg(F.max("n_chars")).first()[0]), "max_fn_lines": F.lit(50)}
 
 
 @query(
@@ -543,7 +554,9 @@ def score_floors(spark: SparkSession, d: str) -> DataFrame:
     UNION ALL SELECT 'max_file_lines', 'largest file has ' || n || ' lines > allowed 100' FROM (SELECT max(n_chars) AS n FROM documents) WHERE n > 100"""
 )
 def ceilings(spark: SparkSession, d: str) -> DataFrame:
-    return rules.ceilings(checked_health(spark, d), CHECKED.ceilings).select("rule", "message")
+    # No ceiling asks for the scores.
+    totals = cycles_of(hops(spark, d)).withColumnRenamed("cycles", "cycle_count").withColumns(largest(spark, d))
+    return rules.ceilings(cut(totals), CHECKED.ceilings).select("rule", "message")
 
 
 @query("SELECT 'max_cyclomatic' AS rule, p_brand AS file, p_name AS subject, p_partkey AS line, p_brand || ':' || p_partkey || ': ' || p_name || ' has cyclomatic complexity ' || p_size || ' > allowed 47' AS message FROM part WHERE p_size > 47")
@@ -600,9 +613,10 @@ _LOW_HIGH = "CASE WHEN {0} LIKE 'AFRICA/%' OR {0} LIKE 'AMERICA/%' THEN 0 WHEN {
 )
 def rules_check(spark: SparkSession, d: str) -> DataFrame:
     """The whole check of a rule file's text."""
-    e = nation_edges(spark, d)
+    edges = kept(hops(spark, d), "hops")
+    e = cut(nation_edges(spark, d, edges))
     parts = t(spark, d, "part").select(F.col("p_brand").alias("file"), F.col("p_name").alias("name"), F.col("p_partkey").cast("int").alias("start_line"), F.col("p_size").alias("cyclomatic"), F.lit(0).alias("cognitive"))
-    found = rules.check(parse_rules(RULES_TEXT), checked_health(spark, d), parts, e, e.select(F.col("from").alias("path")))
+    found = rules.check(parse_rules(RULES_TEXT), checked_health(spark, d, edges), parts, e, e.select(F.col("from").alias("path")))
     return found.select("rule", "message", F.get("files", F.lit(0)).alias("file"), "line")
 
 
@@ -630,8 +644,7 @@ BEFORE = {"quality_signal": 0.99, "cycle_count": 0, "max_depth": 1, "dead_functi
     UNION ALL SELECT 4, 'Duplicated functions increased: 0 -> ' || dup FROM n WHERE dup > 0"""
 )
 def gate_diff(spark: SparkSession, d: str) -> DataFrame:
-    counts = deadcode.redundancy(flagged(spark, d)).select("dead_functions", "duplicate_functions").first()
-    now = health(spark, d).select("quality_signal", F.col("cycles").alias("cycle_count"), "max_depth", F.lit(counts[0]).alias("dead_functions"), F.lit(counts[1]).alias("duplicate_functions"))
+    now = health(spark, d).select("quality_signal", F.col("cycles").alias("cycle_count"), "max_depth", "dead_functions", "duplicate_functions")
     return rules.regressions(spark.createDataFrame([BEFORE]), now)
 
 
