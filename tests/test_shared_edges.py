@@ -26,3 +26,7 @@ def test_ceilings_need_no_heights(spark, calls, monkeypatch):
     want = table_queries.ceilings(spark, FOLDER).collect()
     monkeypatch.setattr(graph, "heights", lambda *a: pytest.fail("heights"))
     assert table_queries.ceilings(spark, FOLDER).collect() == want and calls == {"hops": 2, "flagged": 0}
+
+
+def test_health_report_finds_edges_once(spark, calls):
+    assert table_queries.health_report(spark, FOLDER).count() == 1 and calls["hops"] == 1
