@@ -30,3 +30,7 @@ def test_ceilings_need_no_heights(spark, calls, monkeypatch):
 
 def test_health_report_finds_edges_once(spark, calls):
     assert table_queries.health_report(spark, FOLDER).count() == 1 and calls["hops"] == 1
+
+
+def test_rules_check_finds_edges_once(spark, calls):
+    assert table_queries.rules_check(spark, FOLDER).count() > 0 and calls["hops"] == 1
