@@ -34,3 +34,7 @@ def test_health_report_finds_edges_once(spark, calls):
 
 def test_rules_check_finds_edges_once(spark, calls):
     assert table_queries.rules_check(spark, FOLDER).count() > 0 and calls["hops"] == 1
+
+
+def test_score_floors_find_edges_once(spark, calls):
+    assert table_queries.score_floors(spark, FOLDER).count() > 0 and calls["hops"] == 1
