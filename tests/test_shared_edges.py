@@ -38,3 +38,7 @@ def test_rules_check_finds_edges_once(spark, calls):
 
 def test_score_floors_find_edges_once(spark, calls):
     assert table_queries.score_floors(spark, FOLDER).count() > 0 and calls["hops"] == 1
+
+
+def test_gate_diff_finds_edges_and_flags_once(spark, calls):
+    assert table_queries.gate_diff(spark, FOLDER).count() > 0 and calls == {"hops": 1, "flagged": 1}
