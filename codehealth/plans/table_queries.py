@@ -66,8 +66,10 @@ def all_paths(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hops(spark: SparkSession, d: str) -> DataFrame:
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
-    rows = t(spark, d, "lineitem").withColumn("dst", F.lead("l_suppkey").over(order))
+    # Lines that only ship date and price tell apart have one supplier, so their order changes no hop and both stay behind.
+    lines = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    order = Window.partitionBy("l_orderkey").orderBy(*[F.asc_nulls_last(c) for c in ("l_linenumber", "l_partkey", "l_suppkey")])
+    rows = lines.withColumn("dst", F.lead("l_suppkey").over(order))
     return rows.where("dst IS NOT NULL AND l_suppkey <> dst").select(F.col("l_suppkey").alias("src"), "dst")
 
 
