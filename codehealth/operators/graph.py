@@ -96,9 +96,11 @@ def entries(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.orderBy("ord").limit(1)
 
 
-def components(edges: DataFrame, task_edges: int | None = None) -> DataFrame:
+def components(edges: DataFrame, task_edges: int | None = None, stored: bool = False) -> DataFrame:
     """(id, scc) of the nodes of strongly connected components of two nodes or more; the largest id names one.
 
+    Edges may repeat. ``stored``: they can be read again without being computed again.
+
     Tasks contract the components of the edges that each of them has until one task takes
     what is left. Where that no longer helps, a round colours nodes with the largest id that
     reaches them; the nodes of a colour that reach its id are one component. They leave, as
@@ -106,7 +108,8 @@ def components(edges: DataFrame, task_edges: int | None = None) -> DataFrame:
     """
     limit = TASK_EDGES if task_edges is None else task_edges
     kind = edges.schema["src"].dataType.simpleString()
-    left = kept(edges.select("src", "dst").where("src <> dst").distinct(), "edges")
+    left = edges.select("src", "dst").where("src <> dst")
+    left = left if stored else kept(left, "edges")
     found = None
     for _ in range(ROUNDS):
         left = contracted(left, limit)
@@ -133,8 +136,9 @@ def contracted(edges: DataFrame, limit: int) -> DataFrame:
 
     Each task has about ``limit`` of the edges. A component of these becomes one cycle
     through its nodes, and edges between components lead from one's last node to the other's.
-    So whoever reaches whom stays the same. Edges are dealt by both ends, which leaves a
-    sample of all to each task, or by ranges of their start, which keeps what is close together.
+    So whoever reaches whom stays the same. Edges are taken as they lie first, which moves none
+    of them, then dealt by both ends, which leaves a sample of all to each task, or by ranges
+    of their start, which keeps what is close together.
     """
     kind = edges.schema["src"].dataType.simpleString()
     n, vain = edges.count(), 0
@@ -142,10 +146,14 @@ def contracted(edges: DataFrame, limit: int) -> DataFrame:
         if n <= limit or vain == 2:
             break
         parts = 1 + n // max(limit, 1)
-        dealt_ = edges.repartitionByRange(parts, "src", "dst") if k % 2 else edges.repartition(parts, "src", "dst")
-        small = kept(dealt_.mapInArrow(one_block(contract, ["src", "dst"]), f"src {kind}, dst {kind}").distinct(), "edges")
+        if k == 0:
+            # A quarter more, as they are not dealt evenly.
+            dealt_ = edges.coalesce(parts + parts // 4)
+        else:
+            dealt_ = edges.repartition(parts, "src", "dst") if k % 2 else edges.repartitionByRange(parts, "src", "dst")
+        small = kept(dealt_.mapInArrow(one_block(contract, ["src", "dst"], None if k else limit), f"src {kind}, dst {kind}").distinct(), "edges")
         before, n = n, small.count()
-        vain = vain + 1 if n > before * (1 - SHRINK) else 0
+        vain = vain + 1 if k and n > before * (1 - SHRINK) else 0
         if n < before:
             edges = small
     return edges
@@ -158,13 +166,23 @@ def in_one_task(edges: DataFrame, solve: Callable, schema: str) -> DataFrame:
     return edges.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst").coalesce(1).mapInArrow(one_block(solve, names), schema)
 
 
-def one_block(solve: Callable, names: list[str]) -> Callable:
-    """For ``mapInArrow``: ``solve`` on all edges (src, dst) of a partition, its columns by ``names``."""
+def one_block(solve: Callable, names: list[str], most: int | None = None) -> Callable:
+    """For ``mapInArrow``: ``solve`` on the edges (src, dst) of a partition, all or about ``most`` at a time, its columns by ``names``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [b for b in batches if b.num_rows]
+        parts, n = [], 0
+        for b in batches:
+            if b.num_rows:
+                parts.append(b)
+                n += b.num_rows
+            if most is not None and n >= max(most, 1):
+                yield from solved(parts)
+                parts, n = [], 0
         if parts:
-            yield from pa.table(list(solve(*numbered(pa.Table.from_batches(parts)))), names=names).to_batches(max_chunksize=100_000)
+            yield from solved(parts)
+
+    def solved(parts: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+        return pa.table(list(solve(*numbered(pa.Table.from_batches(parts)))), names=names).to_batches(max_chunksize=100_000)
 
     return run
 
@@ -348,16 +366,18 @@ def reached(seeds: DataFrame, edges: DataFrame, keys: list[str] | None = None) -
     raise RuntimeError("reachability did not settle")
 
 
-def heights(edges: DataFrame, task_edges: int | None = None) -> DataFrame:
+def heights(edges: DataFrame, task_edges: int | None = None, stored: bool = False) -> DataFrame:
     """(id, height): the edges of the longest path from each node of an acyclic graph.
 
+    ``stored``: no edge repeats, none has a null, and they can be read again without being computed again.
+
     More edges than one task takes are dealt to blocks by ranges of their start. A task
     finds the heights in its block, given the least heights that are known of its nodes.
     Blocks for whose nodes others have found more start again, until there are none.
     """
     limit = TASK_EDGES if task_edges is None else task_edges
     kind = edges.schema["src"].dataType.simpleString()
-    left = kept(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct(), "edges")
+    left = edges.select("src", "dst") if stored else kept(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct(), "edges")
     n = left.count()
     if n <= limit:
         return cut(in_one_task(left, path_heights, f"id {kind}, height long").select("id", F.col("height").cast("int").alias("height")))

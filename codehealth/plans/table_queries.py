@@ -207,8 +207,8 @@ def cycle_count(spark: SparkSession, d: str) -> DataFrame:
     return cycles_of(hops(spark, d))
 
 
-def cycles_of(edges: DataFrame) -> DataFrame:
-    return graph.components(edges).agg(F.count_distinct("scc").alias("cycles"))
+def cycles_of(edges: DataFrame, stored: bool = False) -> DataFrame:
+    return graph.components(edges, stored=stored).agg(F.count_distinct("scc").alias("cycles"))
 
 
 def upward(spark: SparkSession, d: str) -> DataFrame:
@@ -331,9 +331,9 @@ def health(spark: SparkSession, d: str, edges: DataFrame | None = None) -> DataF
     """The supplier graph's health: one row with all measures, scores and the bottleneck. ``edges``: ``hops``, if there already."""
     edges = kept(hops(spark, d), "hops") if edges is None else edges
     q = graph.modularity(suppliers(spark, d), edges).first()["q"]
-    links_ = kept(edges.distinct(), "links")
-    cycles = cycles_of(links_).first()["cycles"]
-    depth = graph.heights(links_.where("src < dst")).agg(F.max("height")).first()[0] or 0
+    cycles = cycles_of(edges, stored=True).first()["cycles"]
+    up = kept(edges.where("src < dst").distinct(), "links")
+    depth = graph.heights(up, stored=True).agg(F.max("height")).first()[0] or 0
     size = stats.gini(t(spark, d, "documents"), "n_chars").first()["gini"]
     waste = deadcode.redundancy(flagged(spark, d)).select("ratio", "dead_functions", "duplicate_functions").first()
     raw = spark.createDataFrame([(q, cycles, depth, size, *waste)], "q double, cycles long, max_depth long, gini double, ratio double, dead_functions long, duplicate_functions long")

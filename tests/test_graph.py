@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 
 from codehealth.operators import graph as G
@@ -299,3 +300,27 @@ def test_places_in_a_global_order(spark):
     got = placed(spark.createDataFrame([(v,) for v in values], "v long").repartition(7), ["v"]).collect()
     assert [r["v"] for r in sorted(got, key=lambda r: r["place"])] == sorted(values) and sorted(r["place"] for r in got) == list(range(1, 501))
     assert placed(spark.createDataFrame([], "v long"), ["v"]).collect() == []
+
+
+def test_repeated_edges_are_contracted_as_they_lie(spark, monkeypatch):
+    monkeypatch.setattr(graph, "trimmed", lambda edges: pytest.fail("rounds of colours"))
+    ring = spark.range(20_000).selectExpr("id % 500 AS src", "(id + 1) % 500 AS dst")
+    assert [tuple(r) for r in graph.components(ring, 3000).groupBy("scc").count().collect()] == [(499, 500)]
+
+
+def test_stored_edges_are_not_stored_again(spark, monkeypatch):
+    ring = spark.range(50).selectExpr("id AS src", "(id + 1) % 50 AS dst")
+    monkeypatch.setattr(graph, "kept", lambda *a: pytest.fail("stored"))
+    assert graph.components(ring, stored=True).count() == 50
+    assert graph.heights(ring.where("src < dst"), stored=True).agg({"height": "max"}).first()[0] == 49
+
+
+def test_a_task_takes_few_edges_at_a_time():
+    sizes = []
+
+    def solve(ids, src, dst):
+        sizes.append(len(src))
+        return ids, ids
+
+    rows = pa.RecordBatch.from_pydict({"src": list(range(10)), "dst": list(range(1, 11))})
+    assert sum(b.num_rows for b in graph.one_block(solve, ["src", "dst"], 25)(iter([rows] * 7))) == 33 and sizes == [30, 30, 10]

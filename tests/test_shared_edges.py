@@ -32,6 +32,24 @@ def test_health_report_finds_edges_once(spark, calls):
     assert table_queries.health_report(spark, FOLDER).count() == 1 and calls["hops"] == 1
 
 
+@pytest.fixture
+def stored(monkeypatch):
+    """What is stored, by name."""
+    found, plain = [], graph.kept
+
+    def noted(df, what):
+        found.append(what)
+        return plain(df, what)
+
+    monkeypatch.setattr(graph, "kept", noted)
+    monkeypatch.setattr(table_queries, "kept", noted)
+    return found
+
+
+def test_health_report_deals_edges_once(spark, stored):
+    assert table_queries.health_report(spark, FOLDER).count() == 1 and stored == ["hops", "links"]
+
+
 def test_rules_check_finds_edges_once(spark, calls):
     assert table_queries.rules_check(spark, FOLDER).count() > 0 and calls["hops"] == 1
 
