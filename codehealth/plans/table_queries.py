@@ -483,9 +483,11 @@ _NATION_EDGES = f"""{HOPS_SQL}, home AS (SELECT s_suppkey, r_name || '/' || n_na
 
 def nation_edges(spark: SparkSession, d: str, edges: DataFrame | None = None) -> DataFrame:
     place = t(spark, d, "nation").join(t(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    home = t(spark, d, "supplier").join(place, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.concat("r_name", F.lit("/"), "n_name", F.lit(".c")).alias("path"))
-    e = (hops(spark, d) if edges is None else edges).join(home.select(F.col("s_suppkey").alias("src"), F.col("path").alias("from")), "src")
-    return e.join(home.select(F.col("s_suppkey").alias("dst"), F.col("path").alias("to")), "dst").select("from", "to").distinct()
+    place = place.select("n_nationkey", F.concat("r_name", F.lit("/"), "n_name", F.lit(".c")).alias("path"))
+    # Pairs of nations first, so that edges meet two numbers each and only pairs get paths.
+    home = t(spark, d, "supplier").select("s_suppkey", "s_nationkey")
+    e = (hops(spark, d) if edges is None else edges).join(home.toDF("src", "a"), "src").join(home.toDF("dst", "b"), "dst").select("a", "b").distinct()
+    return e.join(place.toDF("a", "from"), "a").join(place.toDF("b", "to"), "b").select("from", "to").distinct()
 
 
 _LAYER_CASE = "CASE WHEN {0} LIKE 'AFRICA/%' OR {0} LIKE 'AMERICA/%' THEN 0 WHEN {0} LIKE 'ASIA/%' THEN 1 WHEN {0} LIKE 'EUROPE/%' OR {0} LIKE 'MIDDLE EAST/%' THEN 2 END"

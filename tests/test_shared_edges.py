@@ -60,3 +60,12 @@ def test_score_floors_find_edges_once(spark, calls):
 
 def test_gate_diff_finds_edges_and_flags_once(spark, calls):
     assert table_queries.gate_diff(spark, FOLDER).count() > 0 and calls == {"hops": 1, "flagged": 1}
+
+
+def test_rules_check_deals_edges_once(spark, stored):
+    assert table_queries.rules_check(spark, FOLDER).count() > 0 and stored == ["hops", "links"]
+
+
+def test_edges_meet_numbers_of_nations(spark):
+    plan = table_queries.nation_edges(spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [a#" in plan
