@@ -69,3 +69,7 @@ def test_rules_check_deals_edges_once(spark, stored):
 def test_edges_meet_numbers_of_nations(spark):
     plan = table_queries.nation_edges(spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate [a#" in plan
+
+
+def test_gate_diff_deals_edges_once(spark, stored):
+    assert table_queries.gate_diff(spark, FOLDER).count() > 0 and stored == ["hops", "links"]
