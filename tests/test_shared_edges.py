@@ -73,3 +73,7 @@ def test_edges_meet_numbers_of_nations(spark):
 
 def test_gate_diff_deals_edges_once(spark, stored):
     assert table_queries.gate_diff(spark, FOLDER).count() > 0 and stored == ["hops", "links"]
+
+
+def test_score_floors_deal_edges_once(spark, stored):
+    assert table_queries.score_floors(spark, FOLDER).count() > 0 and stored == ["hops", "links"]
