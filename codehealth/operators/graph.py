@@ -24,6 +24,12 @@ HOPS = 4
 PART_EDGES = 200_000
 #: Edges that one task takes.
 TASK_EDGES = 2_000_000
+#: Edges whose heights one task finds, as arrays of four bytes an end and eight an edge.
+HEIGHT_EDGES = 16_000_000
+#: Edges that are numbered at a time, so that a task holds no more of them as they came.
+CHUNK_EDGES = 1_000_000
+#: Nodes, and eight times as many edges, below which a loop is faster than arrays.
+FEW = 8
 #: Rounds after which blocks that still change each other are dealt anew.
 DEAL_ROUNDS = 8
 #: Part of the edges that contraction must take away to go on.
@@ -170,32 +176,43 @@ def one_block(solve: Callable, names: list[str], most: int | None = None) -> Cal
     """For ``mapInArrow``: ``solve`` on the edges (src, dst) of a partition, all or about ``most`` at a time, its columns by ``names``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, n = [], 0
+        parts, new, n, n_new = [], [], 0, 0
         for b in batches:
             if b.num_rows:
-                parts.append(b)
-                n += b.num_rows
+                new.append(b)
+                n, n_new = n + b.num_rows, n_new + b.num_rows
+            if n_new >= CHUNK_EDGES:
+                parts.append(coded(pa.Table.from_batches(new)))
+                new, n_new = [], 0
             if most is not None and n >= max(most, 1):
-                yield from solved(parts)
-                parts, n = [], 0
-        if parts:
-            yield from solved(parts)
+                yield from solved(parts, new)
+                parts, new, n, n_new = [], [], 0, 0
+        if n:
+            yield from solved(parts, new)
 
-    def solved(parts: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
-        return pa.table(list(solve(*numbered(pa.Table.from_batches(parts)))), names=names).to_batches(max_chunksize=100_000)
+    def solved(parts: list[tuple], new: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+        if new:
+            parts.append(coded(pa.Table.from_batches(new)))
+        return pa.table(list(solve(*numbered(parts))), names=names).to_batches(max_chunksize=100_000)
 
     return run
 
 
-def numbered(table: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """The nodes of the edges (src, dst) in ascending order, and the edges as places among them."""
-    both = pa.chunked_array([*table["src"].chunks, *table["dst"].chunks], table.schema.field("src").type).dictionary_encode().combine_chunks()
-    both = both.chunk(0) if isinstance(both, pa.ChunkedArray) else both
-    order = pc.sort_indices(both.dictionary).to_numpy()
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
-    ends = place[both.indices.to_numpy()]
-    return both.dictionary.take(pa.array(order)), ends[: len(table)], ends[len(table) :]
+def coded(edges: pa.Table) -> tuple[pa.Array, pa.Array]:
+    """The ends (src, dst) of edges as places in a dictionary of either, four bytes each."""
+    return tuple(edges[c].combine_chunks().dictionary_encode() for c in ("src", "dst"))
+
+
+def numbered(parts: list[tuple[pa.Array, pa.Array]]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The nodes of ``coded`` edges in ascending order, and the edges as places among them. Empties ``parts``."""
+    both = pa.chunked_array([x for side in zip(*parts) for x in side]).unify_dictionaries()
+    parts.clear()
+    nodes = both.chunk(0).dictionary
+    order = pc.sort_indices(nodes).to_numpy()
+    place = np.empty(len(order), np.int32)
+    place[order] = np.arange(len(order), dtype=np.int32)
+    ends = np.concatenate([place[c.indices.to_numpy()] for c in both.chunks])
+    return nodes.take(pa.array(order)), ends[: len(ends) // 2], ends[len(ends) // 2 :]
 
 
 def rows_of(n: int, src: np.ndarray, dst: np.ndarray) -> tuple[list[int], list[int]]:
@@ -267,22 +284,37 @@ def last_nodes(n: int, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
 
 
 def path_heights(ids: pa.Array, src: np.ndarray, dst: np.ndarray, known: np.ndarray | None = None) -> tuple:
-    """Each node of an acyclic graph and the edges of the longest path from it, ``known`` (0) being the least; sinks leave first."""
+    """Each node of an acyclic graph and the edges of the longest path from it, ``known`` (0) being the least; sinks leave first, layer by layer."""
     n = len(ids)
-    begins, sources = rows_of(n, dst, src)
-    open_ = np.bincount(src, minlength=n).tolist()
-    height = [0] * n if known is None else known.tolist()
-    todo, seen = [v for v in range(n) if not open_[v]], 0
-    while todo:
-        v = todo.pop()
-        seen += 1
-        above = height[v] + 1
-        for u in sources[begins[v] : begins[v + 1]]:
-            if height[u] < above:
-                height[u] = above
-            open_[u] -= 1
-            if not open_[u]:
-                todo.append(u)
+    open_ = np.bincount(src, minlength=n)
+    order = dst.astype(np.int64) * n + src
+    order.sort()
+    begins = np.searchsorted(order, np.arange(n + 1) * n)
+    order %= max(n, 1)
+    sources = order.astype(np.int32)
+    del order
+    height = np.zeros(n, np.int64) if known is None else known.astype(np.int64)
+    todo, seen = np.flatnonzero(open_ == 0), 0
+    while len(todo):
+        seen += len(todo)
+        if len(todo) < FEW and sum(begins[v + 1] - begins[v] for v in todo) < 8 * FEW:
+            freed = []
+            for v in todo:
+                above = height[v] + 1
+                for u in sources[begins[v] : begins[v + 1]].tolist():
+                    if height[u] < above:
+                        height[u] = above
+                    open_[u] -= 1
+                    if not open_[u]:
+                        freed.append(u)
+            todo = freed
+            continue
+        todo = np.asarray(todo)
+        first, near = begins[todo], begins[todo + 1] - begins[todo]
+        above = sources[np.repeat(first - np.cumsum(near) + near, near) + np.arange(near.sum())]
+        np.maximum.at(height, above, np.repeat(height[todo] + 1, near))
+        np.subtract.at(open_, above, 1)
+        todo = np.unique(above[open_[above] == 0])
     if seen < n:
         raise RuntimeError("the graph has a cycle")
     return ids, pa.array(height, pa.int64())
@@ -371,11 +403,11 @@ def heights(edges: DataFrame, task_edges: int | None = None, stored: bool = Fals
 
     ``stored``: no edge repeats, none has a null, and they can be read again without being computed again.
 
-    More edges than one task takes are dealt to blocks by ranges of their start. A task
+    More edges than HEIGHT_EDGES are dealt to blocks of TASK_EDGES by ranges of their start. A task
     finds the heights in its block, given the least heights that are known of its nodes.
     Blocks for whose nodes others have found more start again, until there are none.
     """
-    limit = TASK_EDGES if task_edges is None else task_edges
+    limit, size = (HEIGHT_EDGES, TASK_EDGES) if task_edges is None else (task_edges, task_edges)
     kind = edges.schema["src"].dataType.simpleString()
     left = edges.select("src", "dst") if stored else kept(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct(), "edges")
     n = left.count()
@@ -383,7 +415,7 @@ def heights(edges: DataFrame, task_edges: int | None = None, stored: bool = Fals
         return cut(in_one_task(left, path_heights, f"id {kind}, height long").select("id", F.col("height").cast("int").alias("height")))
     best, schema = None, f"block int, id {kind}, height long"
     for _ in range(ROUNDS):
-        blocks = in_blocks(left, best, 1 + n // max(limit, 1))
+        blocks = in_blocks(left, best, 1 + n // max(size, 1))
         todo, ask, own = blocks, edges.sparkSession.createDataFrame([], schema), None
         if best is not None:
             seats = blocks.select("block", F.col("src").alias("id")).union(blocks.select("block", "dst")).distinct()
@@ -415,7 +447,7 @@ def in_blocks(edges: DataFrame, height: DataFrame | None, parts: int) -> DataFra
 
 def block_heights(edges: pa.Table, known: pa.Table) -> pa.Table:
     """(block, id, height) of the nodes of one block's edges (src, dst, block), no less than the ``known`` (id, height)."""
-    ids, src, dst = numbered(edges)
+    ids, src, dst = numbered([coded(edges)])
     least = np.zeros(len(ids), np.int64)
     if len(known):
         place = pc.index_in(known["id"], value_set=ids).to_numpy()

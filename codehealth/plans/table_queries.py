@@ -649,7 +649,7 @@ BEFORE = {"quality_signal": 0.99, "cycle_count": 0, "max_depth": 1, "dead_functi
 )
 def gate_diff(spark: SparkSession, d: str) -> DataFrame:
     now = health(spark, d).select("quality_signal", F.col("cycles").alias("cycle_count"), "max_depth", "dead_functions", "duplicate_functions")
-    return rules.regressions(spark.createDataFrame([BEFORE]), now)
+    return rules.regressions(spark.createDataFrame([BEFORE]).coalesce(1), now)
 
 
 # Mentions.
