@@ -30,6 +30,8 @@ HEIGHT_EDGES = 16_000_000
 CHUNK_EDGES = 1_000_000
 #: Nodes, and eight times as many edges, below which a loop is faster than arrays.
 FEW = 8
+#: Large components that are looked for in whole breadths, and the breadths of one.
+PIVOTS, FAR = 200, 200
 #: Rounds after which blocks that still change each other are dealt anew.
 DEAL_ROUNDS = 8
 #: Part of the edges that contraction must take away to go on.
@@ -215,11 +217,20 @@ def numbered(parts: list[tuple[pa.Array, pa.Array]]) -> tuple[pa.Array, np.ndarr
     return nodes.take(pa.array(order)), ends[: len(ends) // 2], ends[len(ends) // 2 :]
 
 
-def rows_of(n: int, src: np.ndarray, dst: np.ndarray) -> tuple[list[int], list[int]]:
-    """(begins, targets): node i leads to targets[begins[i]:begins[i + 1]]."""
-    order = np.argsort(src, kind="stable")
-    begins = np.searchsorted(src[order], np.arange(n + 1))
-    return begins.tolist(), dst[order].tolist()
+def rows_of(n: int, src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(begins, targets) of the different edges: node i leads to targets[begins[i]:begins[i + 1]]."""
+    pairs = src.astype(np.int64) * n + dst
+    pairs.sort()
+    pairs = pairs[np.append(True, pairs[1:] != pairs[:-1])[: len(pairs)]]
+    begins = np.searchsorted(pairs, np.arange(n + 1) * n)
+    pairs %= max(n, 1)
+    return begins, pairs.astype(np.int32)
+
+
+def targets_of(nodes: np.ndarray, begins: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What all ``nodes`` lead to, and how many each of them leads to."""
+    first, near = begins[nodes], begins[nodes + 1] - begins[nodes]
+    return targets[np.repeat(first - np.cumsum(near) + near, near) + np.arange(near.sum())], near
 
 
 def strong_components(ids: pa.Array, src: np.ndarray, dst: np.ndarray) -> tuple:
@@ -244,11 +255,49 @@ def contract(ids: pa.Array, src: np.ndarray, dst: np.ndarray) -> tuple:
     return ids.take(pa.array(np.append(inside, between // len(ids)))), ids.take(pa.array(np.append(follow, between % len(ids))))
 
 
+def large_components(n: int, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
+    """For each node of components that make up most of what a node of theirs reaches or is reached by, the last one; else -1.
+
+    What is reached and reaches from one node is its component, whole breadths at a time.
+    """
+    scc, open_ = np.full(n, -1), np.ones(n, bool)
+    on, back = rows_of(n, src, dst), rows_of(n, dst, src)
+    ends = np.minimum(np.diff(on[0]), np.diff(back[0]))
+    for _ in range(PIVOTS):
+        start = int(np.argmax(ends)) if n else 0
+        if not n or not ends[start]:
+            break
+        there = reached_from(start, *on, open_)
+        here = None if there is None else reached_from(start, *back, open_)
+        if here is None:
+            break
+        own = np.flatnonzero(there & here)
+        if len(own) < FEW or 4 * len(own) < np.count_nonzero(there | here):
+            break
+        scc[own], open_[own], ends[own] = own[-1], False, 0
+    return scc
+
+
+def reached_from(start: int, begins: np.ndarray, targets: np.ndarray, open_: np.ndarray) -> np.ndarray | None:
+    """Whether ``start`` reaches each node by ``open_`` nodes; None where that is far."""
+    seen = np.zeros(len(open_), bool)
+    seen[start], front = True, np.array([start])
+    for _ in range(FAR):
+        near = targets_of(front, begins, targets)[0]
+        front = np.unique(near[open_[near] & ~seen[near]])
+        if not len(front):
+            return seen
+        seen[front] = True
+    return None
+
+
 def last_nodes(n: int, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
-    """For each node the last one of its component, -1 if it is alone; one depth-first search without recursion."""
-    begins, targets = rows_of(n, src, dst)
+    """For each node the last one of its component, -1 if it is alone: large ones first, for the rest one depth-first search without recursion."""
+    scc = large_components(n, src, dst)
+    rest = (scc[src] < 0) & (scc[dst] < 0)
+    begins, targets = (x.tolist() for x in rows_of(n, src[rest], dst[rest]))
     number, low, at = [0] * n, [0] * n, begins[:-1]
-    done, stack, scc = [False] * n, [], np.full(n, -1)
+    done, stack = [False] * n, []
     counter = 0
     for root in range(n):
         if number[root]:
@@ -286,13 +335,8 @@ def last_nodes(n: int, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
 def path_heights(ids: pa.Array, src: np.ndarray, dst: np.ndarray, known: np.ndarray | None = None) -> tuple:
     """Each node of an acyclic graph and the edges of the longest path from it, ``known`` (0) being the least; sinks leave first, layer by layer."""
     n = len(ids)
-    open_ = np.bincount(src, minlength=n)
-    order = dst.astype(np.int64) * n + src
-    order.sort()
-    begins = np.searchsorted(order, np.arange(n + 1) * n)
-    order %= max(n, 1)
-    sources = order.astype(np.int32)
-    del order
+    begins, sources = rows_of(n, dst, src)
+    open_ = np.bincount(sources, minlength=n)
     height = np.zeros(n, np.int64) if known is None else known.astype(np.int64)
     todo, seen = np.flatnonzero(open_ == 0), 0
     while len(todo):
@@ -310,8 +354,7 @@ def path_heights(ids: pa.Array, src: np.ndarray, dst: np.ndarray, known: np.ndar
             todo = freed
             continue
         todo = np.asarray(todo)
-        first, near = begins[todo], begins[todo + 1] - begins[todo]
-        above = sources[np.repeat(first - np.cumsum(near) + near, near) + np.arange(near.sum())]
+        above, near = targets_of(todo, begins, sources)
         np.maximum.at(height, above, np.repeat(height[todo] + 1, near))
         np.subtract.at(open_, above, 1)
         todo = np.unique(above[open_[above] == 0])

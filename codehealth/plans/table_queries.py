@@ -337,7 +337,7 @@ def health(spark: SparkSession, d: str, edges: DataFrame | None = None) -> DataF
     size = stats.gini(t(spark, d, "documents"), "n_chars").first()["gini"]
     waste = deadcode.redundancy(flagged(spark, d)).select("ratio", "dead_functions", "duplicate_functions").first()
     raw = spark.createDataFrame([(q, cycles, depth, size, *waste)], "q double, cycles long, max_depth long, gini double, ratio double, dead_functions long, duplicate_functions long")
-    return stats.scored(raw)
+    return stats.scored(raw.coalesce(1))
 
 
 _HEALTH_RAW = f"""raw AS (SELECT (WITH {_DEGREES} SELECT {_Q} FROM g) AS q, ({SCC_SQL} SELECT count(DISTINCT scc) FROM scc) AS cycles, ({HEIGHT_SQL} SELECT max(height) FROM height) AS max_depth,

@@ -62,3 +62,34 @@ def test_blocks_beyond_one_task(spark, monkeypatch):
     monkeypatch.setattr(graph, "HEIGHT_EDGES", 1000)
     monkeypatch.setattr(graph, "cut", lambda df: rounds.append(1) or cut(df))
     assert table_queries.max_depth(spark, FOLDER).first() == want and 3 < len(rounds) < 40
+
+
+def searched(n, src, dst, monkeypatch):
+    """The components, and how many edges are left for the depth-first search."""
+    left, plain = [], graph.rows_of
+    with monkeypatch.context() as m:
+        m.setattr(graph, "rows_of", lambda n, src, dst: left.append(len(src)) or plain(n, src, dst))
+        return graph.last_nodes(n, src, dst).tolist(), left[-1]
+
+
+def test_large_components_need_no_depth_first_search(monkeypatch):
+    rng = np.random.default_rng(2)
+    part = rng.integers(0, 6, 60_000)
+    src, dst = part * 500 + rng.integers(0, 500, (2, 60_000))
+    scc, left = searched(3000, src, dst, monkeypatch)
+    assert scc == [v // 500 * 500 + 499 for v in range(3000)] and left == 0
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_components_are_those_of_the_depth_first_search(seed, monkeypatch):
+    rng = np.random.default_rng(seed)
+    n = int(rng.integers(1, 200))
+    src, dst = rng.integers(0, n, (2, int(rng.integers(0, 4 * n)))).astype(np.int32)
+    src, dst = src[src != dst], dst[src != dst]
+    got = graph.last_nodes(n, src, dst)
+    monkeypatch.setattr(graph, "PIVOTS", 0)
+    assert got.tolist() == graph.last_nodes(n, src, dst).tolist()
+
+
+def test_scores_are_one_task(spark):
+    assert table_queries.health(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 1
