@@ -444,7 +444,8 @@ def reached(seeds: DataFrame, edges: DataFrame, keys: list[str] | None = None) -
 def heights(edges: DataFrame, task_edges: int | None = None, stored: bool = False) -> DataFrame:
     """(id, height): the edges of the longest path from each node of an acyclic graph.
 
-    ``stored``: no edge repeats, none has a null, and they can be read again without being computed again.
+    ``stored``: no edge has a null, and they can be read again without being computed again. Then
+    they are made distinct only where they are too many for one task.
 
     More edges than HEIGHT_EDGES are dealt to blocks of TASK_EDGES by ranges of their start. A task
     finds the heights in its block, given the least heights that are known of its nodes.
@@ -454,6 +455,9 @@ def heights(edges: DataFrame, task_edges: int | None = None, stored: bool = Fals
     kind = edges.schema["src"].dataType.simpleString()
     left = edges.select("src", "dst") if stored else kept(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct(), "edges")
     n = left.count()
+    if stored and n > limit:
+        left = kept(left.distinct(), "edges")
+        n = left.count()
     if n <= limit:
         return cut(in_one_task(left, path_heights, f"id {kind}, height long").select("id", F.col("height").cast("int").alias("height")))
     best, schema = None, f"block int, id {kind}, height long"

@@ -15,7 +15,7 @@ from codehealth.functions.globs import glob_regex
 from codehealth.operators import deadcode, graph, links, resolve, rules, stats
 from codehealth.operators.ordering import placed
 from codehealth.operators.stage import line_counts
-from codehealth.session import cut, kept
+from codehealth.session import cut, kept, together
 from codehealth.sources import languages
 from codehealth.sources.rulefile import Boundary, Layer, Rules, parse_rules
 from codehealth.sources.tree import skip_reason
@@ -330,12 +330,19 @@ def root_cause_scores(spark: SparkSession, d: str) -> DataFrame:
 def health(spark: SparkSession, d: str, edges: DataFrame | None = None) -> DataFrame:
     """The supplier graph's health: one row with all measures, scores and the bottleneck. ``edges``: ``hops``, if there already."""
     edges = kept(hops(spark, d), "hops") if edges is None else edges
-    q = graph.modularity(suppliers(spark, d), edges).first()["q"]
-    cycles = cycles_of(edges, stored=True).first()["cycles"]
-    up = kept(edges.where("src < dst").distinct(), "links")
-    depth = graph.heights(up, stored=True).agg(F.max("height")).first()[0] or 0
-    size = stats.gini(t(spark, d, "documents"), "n_chars").first()["gini"]
-    waste = deadcode.redundancy(flagged(spark, d)).select("ratio", "dead_functions", "duplicate_functions").first()
+
+    def depth_of() -> int:
+        up = kept(edges.where("src < dst"), "links")
+        return graph.heights(up, stored=True).agg(F.max("height")).first()[0] or 0
+
+    depth, cycles, q, size, waste = together(
+        spark,
+        depth_of,
+        lambda: cycles_of(edges, stored=True).first()["cycles"],
+        lambda: graph.modularity(suppliers(spark, d), edges).first()["q"],
+        lambda: stats.gini(t(spark, d, "documents"), "n_chars").first()["gini"],
+        lambda: deadcode.redundancy(flagged(spark, d)).select("ratio", "dead_functions", "duplicate_functions").first(),
+    )
     raw = spark.createDataFrame([(q, cycles, depth, size, *waste)], "q double, cycles long, max_depth long, gini double, ratio double, dead_functions long, duplicate_functions long")
     return stats.scored(raw.coalesce(1))
 

@@ -1,9 +1,12 @@
 """The queries on the supplier graph's health find its edges once, and only measure what they report."""
 
+import threading
+
 import pytest
 
-from codehealth.operators import graph
+from codehealth.operators import graph, stats
 from codehealth.plans import table_queries
+from codehealth.session import kept
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -77,3 +80,39 @@ def test_gate_diff_deals_edges_once(spark, stored):
 
 def test_score_floors_deal_edges_once(spark, stored):
     assert table_queries.score_floors(spark, FOLDER).count() > 0 and stored == ["hops", "links"]
+
+
+def test_measures_run_at_once(spark, monkeypatch):
+    both = threading.Barrier(2, timeout=60)
+    for module, name in ((stats, "gini"), (graph, "modularity")):
+        monkeypatch.setattr(module, name, lambda *a, plain=getattr(module, name): both.wait() >= 0 and plain(*a))
+    assert table_queries.score_floors(spark, FOLDER).count() > 0
+
+
+def test_an_error_of_one_measure_is_raised(spark, monkeypatch):
+    def wrong(*a):
+        raise KeyError("gini")
+
+    monkeypatch.setattr(stats, "gini", wrong)
+    with pytest.raises(KeyError, match="gini"):
+        table_queries.score_floors(spark, FOLDER)
+
+
+def test_stored_edges_are_made_distinct_only_beyond_one_task(spark, stored):
+    path = kept(spark.range(300).selectExpr("id % 30 AS src", "(id % 30) + 1 AS dst"), "path")
+    want = [(k, 30 - k) for k in range(31)]
+    for limit, more in ((300, []), (40, ["edges"]), (7, ["edges", "blocks"])):
+        stored.clear()
+        assert sorted(map(tuple, graph.heights(path, limit, stored=True).collect())) == want and stored[:2] == more
+
+
+def test_stored_upward_edges_do_not_move(spark, monkeypatch):
+    plans, plain = {}, table_queries.kept
+
+    def noted(df, what):
+        plans[what] = df._jdf.queryExecution().executedPlan().toString()
+        return plain(df, what)
+
+    monkeypatch.setattr(table_queries, "kept", noted)
+    table_queries.score_floors(spark, FOLDER)
+    assert "Exchange" in plans["hops"] and "Exchange" not in plans["links"]
